@@ -36,7 +36,7 @@ from textward.llm.hashing import WordHash, mix, shingles
 
 SYMBOLS, CHUNKS, DISTANCE = 40, 9, 17
 #: Documents of a block; a task holds two blocks.
-BLOCK = 64
+BLOCK = 256
 #: Ids of family members that may be broadcast (8 bytes each) to pick their texts; beyond, a shuffled join does.
 BROADCAST_IDS = 1_000_000
 #: Shingles that are intersected at once.
