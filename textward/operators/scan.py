@@ -20,22 +20,26 @@ def insensitive(rule: Rule) -> str:
     return "(?i)" + java(rule.pattern)
 
 
-def snippet(text: Column, rule: Rule, mask_char: str = "*") -> Column:
-    """The first match with up to 30 characters on either side, on one line, masked, cut to 100."""
+def surroundings(text: Column, rule: Rule) -> Column:
+    """The first match with up to 30 characters on either side."""
     if "\\b" in rule.pattern or "(?!" in rule.pattern:  # where a match depends on what stands around it
-        near = F.regexp_extract(text, f"(?is)(.{{0,{AROUND}}}?(?:{java(rule.pattern)}).{{0,{AROUND}}})", 1)
-    else:  # the first match is the first place of its own text
-        def window(m: Column) -> Column:
-            return bound(F.position(m, text), lambda p: F.substring(text, F.greatest(p - AROUND, F.lit(1)), p - F.greatest(p - AROUND, F.lit(1)) + F.length(m) + AROUND))
+        return F.regexp_extract(text, f"(?is)(.{{0,{AROUND}}}?(?:{java(rule.pattern)}).{{0,{AROUND}}})", 1)
 
-        near = bound(F.regexp_substr(text, F.lit(insensitive(rule))), window)
+    def window(m: Column) -> Column:  # the first match is the first place of its own text
+        return bound(F.position(m, text), lambda p: F.substring(text, F.greatest(p - AROUND, F.lit(1)), p - F.greatest(p - AROUND, F.lit(1)) + F.length(m) + AROUND))
+
+    return bound(F.regexp_substr(text, F.lit(insensitive(rule))), window)
+
+
+def snippet(near: Column, mask_char: str = "*") -> Column:
+    """Surroundings on one line, masked, cut to 100."""
     return bound(redact_column(one_line(near), mask_char=mask_char)["redacted"], lambda x: cut(x, SNIPPET))
 
 
-def _hit(text: Column, i: int, mask_char: str) -> Column:
+def _hit(text: Column, i: int) -> Column:
     r = RULES[i]
     names = {"rule_id": r.id, "category": r.category, "severity": r.severity, "action": r.action, "description": r.description}
-    return F.struct(*(F.lit(v).alias(k) for k, v in names.items()), F.col(f"_m{i}").alias("matches"), snippet(text, r, mask_char).alias("snippet"))
+    return F.struct(*(F.lit(v).alias(k) for k, v in names.items()), F.col(f"_m{i}").alias("matches"), surroundings(text, r).alias("snippet"))
 
 
 def _listed(text: Column, which: Iterable[int], last: Column, mask_char: str) -> Column:
@@ -46,8 +50,9 @@ def _listed(text: Column, which: Iterable[int], last: Column, mask_char: str) ->
     some = F.lit(False)
     for i in rules:
         some = some | (F.col(f"_m{i}") > 0)
-    each = F.array(*(F.when((F.col(f"_m{i}") > 0) & (F.lit(i) <= last), _hit(text, i, mask_char)) for i in rules))
-    return F.when(some, F.filter(each, lambda h: h.isNotNull()).cast(HIT)).otherwise(F.array().cast(HIT))
+    each = F.array(*(F.when((F.col(f"_m{i}") > 0) & (F.lit(i) <= last), _hit(text, i)) for i in rules))
+    masked = F.transform(F.filter(each, lambda h: h.isNotNull()), lambda h: h.withField("snippet", snippet(h["snippet"], mask_char)))
+    return F.when(some, masked.cast(HIT)).otherwise(F.array().cast(HIT))
 
 
 def scan(df: DataFrame, column: str = "text", options: ScanOptions | None = None, mask_text: bool = True, budget_exceeded: str | None = None, strict: bool = False) -> DataFrame:
