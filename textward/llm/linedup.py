@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from textward.llm.common import bound_batches, materialise, texts
 
+#: Marked documents and runs up to which the marks are broadcast (about 16 bytes a run); beyond, texts are shuffled to them.
+BROADCAST_MARKS, BROADCAST_RUNS = 500_000, 1_000_000
 #: Words from which on a run of lines counts as repeated.
 MIN_WORDS = 30
 
@@ -157,7 +159,10 @@ def delete(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(uid, pa.int64())], names=[*columns, "_uid"])
 
     schema = type(docs.schema)([*docs.schema.fields]).add("_uid", "long")
-    joined = keyed.mapInArrow(name, schema).join(marked.select(F.col("uid").alias("_uid"), F.col("runs").alias("_runs")), "_uid", "left")
+    marks = marked.select(F.col("uid").alias("_uid"), F.col("runs").alias("_runs"))
+    n, runs_ = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()
+    small = n <= BROADCAST_MARKS and runs_ <= BROADCAST_RUNS
+    joined = keyed.mapInArrow(name, schema).join(F.broadcast(marks) if small else marks.hint("merge"), "_uid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
