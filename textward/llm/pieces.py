@@ -40,7 +40,7 @@ INFINITE = float("inf")
 #: A state of this number or more is a character outside the pieces.
 OUTSIDE = 1 << 23
 #: Words that a worker remembers before it forgets them all.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: The model's file on every node, from the installed package of public vocabularies.
 MODEL = "piece_bpe_32k.model"
 
@@ -157,7 +157,7 @@ class Transducer:
         """Weight of the arc ``right`` out of the state that remembers ``left``; nothing joins a character outside the pieces."""
         if left >= OUTSIDE or right >= OUTSIDE:
             return 0.0
-        if len(self._joins) > 2 * REMEMBERED:
+        if len(self._joins) > REMEMBERED:
             self._joins.clear()
         pair = self.text[left], self.text[right]
         weight = self._joins[left << 24 | right] = 0.0 if self.merge("".join(pair)) == pair else INFINITE
@@ -206,7 +206,7 @@ class Transducer:
                     found = self.path(part)
                     if len(memo) > REMEMBERED:
                         memo.clear()
-                    if len(part) < 100:
+                    if j - start < min(100, len(word)):  # a word that is one part is remembered as a word
                         memo[part] = found
                 out += found
                 start = j

@@ -23,7 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ SHORTEST, LONGEST = 4, 9
 #: Words to either side of a hit that count as its context.
 WINDOW = 8
 #: Words that a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = "\"“”„«»‘’‹›"
@@ -159,6 +159,10 @@ class Model:
     coefficients: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
     _automaton: Automaton | None = field(default=None, repr=False)
 
+    def fresh(self) -> Model:
+        """The same model with an automaton of its own, whose memory goes with the task that made it."""
+        return replace(self, _automaton=None)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_automaton": None}
 
@@ -314,8 +318,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.fresh()
         for batch in batches:
-            rows = [shared.value.score(t) for t in batch.column("text").to_pylist()]
+            rows = [own.score(t) for t in batch.column("text").to_pylist()]
             cols = [pa.array([r[0] for r in rows], pa.float64()), pa.array([int(r[0] >= threshold) for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "score", "predicted", "n_terms", "n_quoted"])
 
@@ -328,7 +333,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.fresh()
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
