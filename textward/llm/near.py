@@ -37,7 +37,7 @@ from textward.llm.hashing import WordHash, mix, shingles
 SYMBOLS, CHUNKS, DISTANCE = 40, 9, 17
 #: Documents of a block; a task holds two blocks.
 BLOCK = 256
-#: Ids of family members that may be broadcast (8 bytes each) to pick their texts; beyond, a shuffled join does.
+#: Ids that may be broadcast (8 bytes each), of family members to pick their texts, of copies to drop them; beyond, a shuffled join does.
 BROADCAST_IDS = 1_000_000
 #: Shingles that are intersected at once.
 COLUMNS = 1 << 16
@@ -178,7 +178,9 @@ def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     decided = materialise(classes(docs, percent, k), "classes")
     gone = decided.where("NOT kept").select("doc_id").distinct()
     again = decided.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    # the texts stay where they are while the list of ids is small enough to be broadcast; beyond, both sides are shuffled
+    small = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
     if again.isEmpty():
         return left
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
