@@ -138,6 +138,11 @@ class Transducer:
         #: Neighbours inside some piece: between others no arc reaches, and a word falls into parts.
         self.inside = frozenset(p[i : i + 2] for p in self.id for i in range(len(p) - 1))
 
+    def forget(self) -> None:
+        """Give the remembered words back; an idle worker keeps only the compiled tables."""
+        self._word.clear()
+        self._part.clear()
+
     # -- arcs -------------------------------------------------------------------------------------
 
     def merge(self, text: str) -> tuple[str, ...]:
@@ -318,6 +323,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             same = [check.matches(p, t) for p, t in zip(packed, all_texts, strict=True)]
             cols = [batch.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in all_texts], pa.int64()), pa.array(size, pa.int64()), pa.array(fallback, pa.int64()), ids, pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "n_tokens", "n_byte_tokens", "ids", "round_trip"])
+        machine.forget()
 
     return texts(docs).mapInArrow(run, ENCODED)
 
