@@ -7,8 +7,10 @@
    masking each symbol of a chunk in turn, so such a pair shares one of 40 keys for certain.
 3. A key's rows are tied to the key's least id, never to one another; the ties' components are families. Every
    pair within the signature distance lies inside one family.
-4. A family is dealt to blocks of at most ``BLOCK`` documents, and each pair of its blocks is a task of its own:
-   it builds the full sets, intersects all of them at once, and returns a spanning forest of the confirmed links.
+4. A family of more than ``BLOCK`` documents is cut into the components of its signature-distance graph, by
+   pairs of blocks of signatures. Then it is dealt to blocks of ``BLOCK`` documents. A task builds a block's full
+   sets, intersects all of them and those of a few pivots, and returns a spanning forest of the confirmed links.
+   Documents outside the family's largest class so far are compared with all others, by pairs of blocks.
 5. The links' components give each document its class.
 
 At Jaccard J a symbol differs with probability 1 - J. At J = 0.85 and 40 symbols the chance that more than 17 of
@@ -37,10 +39,14 @@ from textward.llm.hashing import WordHash, mix, shingles
 SYMBOLS, CHUNKS, DISTANCE = 40, 9, 17
 #: Documents of a block; a task holds two blocks.
 BLOCK = 256
+#: Signatures of a block (160 bytes each), by which large families are cut first.
+SIGN_BLOCK = 4096
+#: Members of a large family that every block of it is compared with.
+PIVOTS = 8
 #: Ids that may be broadcast (8 bytes each), of family members to pick their texts, of copies to drop them; beyond, a shuffled join does.
 BROADCAST_IDS = 1_000_000
 #: Shingles that are intersected at once.
-COLUMNS = 1 << 16
+COLUMNS = 1 << 14
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SKETCH = "doc_id long, n_shingles long, fingerprint binary, signature binary"
@@ -137,18 +143,59 @@ def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
     return out
 
 
-def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataFrame:
-    """(a, b): confirmed links that span each family's classes. ``family``: id, root."""
-    large = family.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = family.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _forest(signs: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the signature distance: a search from row to row over those not reached yet."""
+    left, out = np.arange(len(signs)), []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            close = (signs[left] != signs[i]).sum(1) <= DISTANCE
+            out += [(int(i), int(j)) for j in left[close]]
+            reached += left[close].tolist()
+            left = left[~close]
+    return out
+
+
+def _blocks(family: DataFrame, size: int) -> DataFrame:
+    """Families of more than ``size`` members: root, blocks."""
+    return family.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > size).select("root", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+
+
+def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each pair of blocks that a member (own, others: an array) takes part in."""
+    paired = rows.select(*columns, "root", "own", F.explode("others").alias("other"))
+    return paired.select(*columns, "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
+
+
+def refined(reps: DataFrame, family: DataFrame) -> DataFrame:
+    """id, root: families of more than ``BLOCK`` members are cut into the components of their signature-distance graph.
+
+    Their signatures are dealt to blocks of ``SIGN_BLOCK`` and each pair of blocks is a task of its own. Members with
+    no other within the distance have no links and go; smaller families stay as they are."""
+    large = materialise(_blocks(family, BLOCK).select("root"), "large")
+    if large.isEmpty():
+        return family
+    members = family.join(large, "root", "left_semi")
+    blocks = F.ceil(F.col("n") / SIGN_BLOCK).cast("int")
+    size = members.groupBy("root").agg(F.count("*").alias("n")).select("root", blocks.alias("blocks"))
+    dealt = members.join(size, "root").join(reps.select("id", "signature"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tasks = _pairs(dealt.withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1)), "id", "signature")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, SYMBOLS)
+        found = _forest(signs)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    cut = components(tasks.groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long"))
+    return materialise(family.join(large, "root", "left_anti").select("id", "root").unionByName(cut.select("id", "root")), "refined")
+
+
+def _compared(docs: DataFrame, dealt: DataFrame, count: int, percent: int, k: int) -> DataFrame:
+    """(a, b): a spanning forest of the confirmed links of each pair of blocks. ``dealt``: id, root, own, others."""
     rows = texts(docs)
-    count = family.count()
-    placed = rows.join(F.broadcast(dealt), F.col("doc_id") == F.col("id")) if count <= BROADCAST_IDS else rows.join(dealt, F.col("doc_id") == F.col("id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("id", "text", "root", "own", other).select(
-        "id", "text", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side")
-    )
+    placed = rows.join(F.broadcast(dealt) if count <= BROADCAST_IDS else dealt, F.col("doc_id") == F.col("id"))
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -157,7 +204,40 @@ def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataF
         found = [(ids[i], ids[j]) for i, j in confirmed(sets, np.array(table.column("side").to_pylist(), bool), percent)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return tasks.groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long")
+    return _pairs(placed, "id", "text").groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataFrame:
+    """(a, b): confirmed links that span each family's classes. ``family``: id, root.
+
+    First each block is compared within itself and with the family's ``PIVOTS``. In families of several blocks that
+    don't come together by that, the members outside the largest class so far are then compared with all others;
+    members of the largest class are linked already and need no pairs among themselves."""
+    large = materialise(_blocks(family, BLOCK), "large")
+    dealt = family.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pivots = family.join(large, "root").groupBy("root", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS))).agg(F.min("id").alias("id")).select("id", F.lit(True).alias("pivot"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # a block's task is keyed by (own, own): a pivot takes the number of the block that it visits
+    first = dealt.join(pivots, "id", "left").withColumn("own", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own")))).withColumn("others", F.array("own"))
+    count = family.count()
+    begun = materialise(_compared(docs, first.select("id", "root", "own", "others"), count, percent, k), "links")
+    if large.isEmpty():
+        return begun
+    so_far = components(begun).withColumnRenamed("root", "class")
+    held = family.join(large.select("root"), "root", "left_semi").join(so_far, "id", "left").select("id", "root", F.coalesce("class", "id").alias("class"))
+    held = materialise(held, "held")
+    sizes = held.groupBy("root", "class").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("root").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart = materialise(top.select("root", F.col("top.class").alias("main"), of(F.col("top.n")).alias("inner"), of(F.col("n") - F.col("top.n")).alias("outer")), "apart")
+    if apart.isEmpty():
+        return begun
+    rest = held.join(apart, "root").withColumn("in", F.col("class") == F.col("main"))
+    own = F.when(F.col("in"), F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int")
+    others = F.sequence(F.when(F.col("in"), F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)
+    second = rest.select("id", "root", own.alias("own"), others.alias("others"))
+    return begun.unionByName(_compared(docs, second, count, percent, k))
 
 
 def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -165,7 +245,7 @@ def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     bound_batches(docs.sparkSession)
     drawn = materialise(sketch(docs, k), "sketch")
     reps = materialise(drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "reps")
-    family = materialise(components(ties(reps)), "families")
+    family = refined(reps, materialise(components(ties(reps)), "families"))
     root = components(links(docs, family, percent, k))
     of = reps.select("fingerprint", "id").join(root, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("root"))
     # rows that share a doc_id are one document: the least class of its texts
