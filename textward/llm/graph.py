@@ -28,11 +28,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         # a forest of stars: every node below has one parent, and no parent hangs below another
-        parents = now.groupBy("a").agg(F.count("*").alias("n"))
-        loose = parents.where("n > 1").select("a").unionByName(now.select("b").distinct().join(parents, F.col("b") == F.col("a"), "left_semi").select(F.col("b").alias("a")))
+        ends = now.select(F.col("a").alias("id"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        loose = ends.groupBy("id").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 OR (above > 0 AND below > 0)")
         if loose.isEmpty():
             break
-        now = materialise(_small_star(_large_star(now).distinct()).where("a <> b").distinct(), "edges")
+        now = materialise(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
