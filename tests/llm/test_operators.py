@@ -1,5 +1,7 @@
 import base64
+import bz2
 import collections
+import gzip
 import hashlib
 import re
 import urllib.parse
@@ -305,6 +307,14 @@ def test_secrets_base_and_layers():
     assert secrets.spelled(secrets.base("AKIA" + "B" * 14 + " 0123456789abcdef")) == "access:0:18,hex:19:35"
 
 
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress])
+def test_secrets_whole_streams(pack):
+    s = b' token = "abcdefghijklmnop"'
+    for data in (pack(b"ab " * (3 << 20) + s), pack(b"one") + pack(s)):
+        text = "x " + base64.b64encode(data).decode().rstrip("=")
+        assert secrets.scan(text)[1] == [(2, 0, len(text))]
+
+
 def test_secrets_base_against_plain_patterns(rows):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
     for _, t in rows:

@@ -9,8 +9,9 @@ Every layer keeps, for each of its characters, where that character came from in
 map character by character, a compressed stretch maps as a whole. A match in an inner layer is reported with its
 kind and the span of the document's characters that carry it, unless the document itself shows that very span.
 
-Decompression goes piece by piece: a stream that unfolds to more than ``PIECE`` characters is scanned in
-overlapping pieces, so memory stays bounded and nothing of it is left out.
+Decompression goes piece by piece, through all members of a stream: what unfolds to more than ``PIECE`` bytes is
+scanned in overlapping pieces, and a layer's pieces and inner layers are made one at a time, so memory stays bounded
+and nothing of it is left out.
 
 Defined cases: a null or empty text has no spans; a match's span covers the whole match, ends exclusive, in code
 points; equal spans of one kind are reported once; repeated rows are scanned row by row; other columns are dropped.
@@ -21,11 +22,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
+HEXED = re.compile("%([0-9A-Fa-f]{2})")
 PERCENT = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -48,17 +51,30 @@ PIECE, OVERLAP = 4 << 20, 64 << 10
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
 
-@dataclass
 class Layer:
-    """Text, and where each of its characters begins and ends in the document (None: where it is)."""
+    """Text, and where each of its characters (or bytes, if it was spelled from bytes) is in the layer around it."""
 
-    text: str
-    at: list[tuple[int, int]] | None = None
+    __slots__ = ("_ends", "parent", "place", "raw", "text")
+
+    def __init__(self, text: str, parent: Layer | None = None, place: Callable[[int], tuple[int, int]] | None = None, raw: str | None = None):
+        self.text, self.parent, self.place = text, parent, place
+        self.raw, self._ends = raw, None
+
+    def unit(self, k: int) -> int:
+        """The byte at which character ``k`` begins."""
+        if self.raw is None or self.raw.isascii():
+            return k
+        if self._ends is None:
+            self._ends = [0, *accumulate(len(c.encode("utf-8", "surrogateescape")) for c in self.raw)]
+        return self._ends[k]
 
     def span(self, begin: int, end: int) -> tuple[int, int]:
-        if self.at is None:
-            return begin, end
-        return min(a for a, _ in self.at[begin:end]), max(b for _, b in self.at[begin:end])
+        """The span of the document's characters that carry those of this layer."""
+        layer = self
+        while layer.parent is not None:
+            begin, end = layer.place(layer.unit(begin))[0], layer.place(layer.unit(end) - 1)[1]
+            layer = layer.parent
+        return begin, end
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -70,29 +86,31 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _spelled(data: bytes, places: list[tuple[int, int]]) -> Layer | None:
-    """UTF-8 bytes with a place each as a layer."""
+def _spelled(data: bytes, parent: Layer, place: Callable[[int], tuple[int, int]]) -> Layer | None:
+    """UTF-8 bytes as a layer; ``place`` has where each is in ``parent``."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    at, k = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        at.append((places[k][0], places[k + n - 1][1]))
-        k += n
-    return Layer(text, at)
+    return Layer(text, parent, place, text)
+
+
+def _between(starts: list[int]) -> Callable[[int], tuple[int, int]]:
+    return lambda k: (starts[k], starts[k + 1])
 
 
 def _unpercent(layer: Layer) -> Iterator[Layer]:
     for m in PERCENT.finditer(layer.text) if "%" in layer.text else ():
-        run, data, places, i = m[0], bytearray(), [], 0
-        while i < len(run):
-            n = 3 if re.fullmatch("%[0-9A-Fa-f]{2}", run[i : i + 3]) else 1
-            data.append(int(run[i + 1 : i + 3], 16) if n == 3 else ord(run[i]))
-            places.append(layer.span(m.start() + i, m.start() + i + n))
-            i += n
-        if found := _spelled(bytes(data), places):
+        run, data, starts, i = m[0], bytearray(), [], 0
+        for e in HEXED.finditer(run):
+            data += run[i : e.start()].encode("ascii")
+            starts += range(m.start() + i, m.start() + e.start())
+            data.append(int(e[1], 16))
+            starts.append(m.start() + e.start())
+            i = e.end()
+        data += run[i:].encode("ascii")
+        starts += range(m.start() + i, m.end() + 1)
+        if found := _spelled(bytes(data), layer, _between(starts)):
             yield found
 
 
@@ -102,38 +120,52 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
     for line in re.finditer(r"[^\n]+", layer.text):
         if not ESCAPED.search(line[0]):
             continue
-        out, at, i = [], [], 0
+        out, starts, i = [], [], 0
         for m in ESCAPED.finditer(line[0]):
-            for k in range(i, m.start()):
-                out.append(line[0][k])
-                at.append(layer.span(line.start() + k, line.start() + k + 1))
+            out.append(line[0][i : m.start()])
+            starts += range(line.start() + i, line.start() + m.start())
             digits = m[0].strip("\\uUx{}&#;")
             code = int(digits, 10 if m[0].startswith("&#") and m[0][2] != "x" else 16)
             out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
-            at.append(layer.span(line.start() + m.start(), line.start() + m.end()))
+            starts.append(line.start() + m.start())
             i = m.end()
-        for k in range(i, len(line[0])):
-            out.append(line[0][k])
-            at.append(layer.span(line.start() + k, line.start() + k + 1))
-        yield Layer("".join(out), at)
+        out.append(line[0][i:])
+        starts += range(line.start() + i, line.end() + 1)
+        yield Layer("".join(out), layer, _between(starts))
 
 
-def _inflate(data: bytes) -> Iterator[bytes]:
-    """The pieces of a compressed stream; none if it isn't one."""
+def _opened(data: bytes):
+    """What decompresses a stream that begins so; None if it isn't one."""
     for head, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\x78", zlib.decompressobj)):
-        if not data.startswith(head):
-            continue
-        machine, rest = make(), data
+        if data.startswith(head):
+            return make()
+    return None
+
+
+def _inflate(data: bytes) -> Iterator[bytes]:
+    """The pieces of a compressed stream, of all its members; none if it isn't one."""
+    while (machine := _opened(data)) is not None:
         try:
-            while rest and not machine.eof:
-                piece = machine.decompress(rest, PIECE)
-                rest = getattr(machine, "unconsumed_tail", b"")
+            while not machine.eof:
+                # what a machine still holds comes out with no input: bzip2 has no unconsumed_tail at all
+                piece = machine.decompress(data, PIECE)
+                data = getattr(machine, "unconsumed_tail", b"")
                 if piece:
                     yield piece
-                elif not rest:
-                    break
-        except (zlib.error, OSError, EOFError):
+                elif not machine.eof:
+                    return
+        except (zlib.error, OSError):
             return
+        data = machine.unused_data.lstrip(b"\0")
+
+
+def _inflated(data: bytes, parent: Layer, place: tuple[int, int]) -> Iterator[Layer]:
+    """The pieces of a compressed stream as overlapping layers."""
+    decode, tail = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
+    for piece in _inflate(data):
+        text = tail + decode(piece)
+        yield Layer(text, parent, lambda _: place)
+        tail = text[-OVERLAP:]
 
 
 def _unbase64(layer: Layer) -> Iterator[Layer]:
@@ -146,17 +178,12 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         packed = False
-        tail = ""
-        for piece in _inflate(data):
+        for inner in _inflated(data, layer, m.span()):
             packed = True
-            text = tail + piece.decode("utf-8", "replace")
-            place = layer.span(m.start(), m.end())
-            yield Layer(text, [place] * len(text))
-            tail = text[-OVERLAP:]
-        if packed:
+            yield inner
+        if packed or not _printable(data):
             continue
-        places = [layer.span(m.start() + k // 3 * 4 + k % 3, m.start() + min(k // 3 * 4 + k % 3 + 2, len(run))) for k in range(len(data))] if _printable(data) else []
-        if places and (found := _spelled(data, places)):
+        if found := _spelled(data, layer, lambda k, at=m.start(), n=len(run): (at + k // 3 * 4 + k % 3, at + min(k // 3 * 4 + k % 3 + 2, n))):
             yield found
 
 
@@ -168,25 +195,33 @@ def _printable(data: bytes) -> bool:
     return all(c.isprintable() or c in "\n\r\t" for c in text)
 
 
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    for unwrap in (_unpercent, _unescape, _unbase64):
+        yield from unwrap(layer)
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """The base spans, all spans, and the number of layers."""
     shown = base(text)
     found = set(shown)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work, layers = [Layer(text)], 1
+    work, layers = [_unwrapped(Layer(text))], 1
     while work:
-        layer = work.pop()
-        for unwrap in (_unpercent, _unescape, _unbase64):
-            for inner in unwrap(layer):
-                mark = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass") + repr(inner.at[:1]).encode(), digest_size=16).digest()
-                if mark in seen or not inner.text:
-                    continue
-                seen.add(mark)
-                layers += 1
-                for b, k, e in base(inner.text):
-                    start, end = inner.span(b, e)
-                    found.add((start, k, end))
-                work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        if not inner.text:
+            continue
+        mark = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass") + repr(inner.span(0, 1)).encode(), digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        for b, k, e in base(inner.text):
+            start, end = inner.span(b, e)
+            found.add((start, k, end))
+        work.append(_unwrapped(inner))
     return shown, sorted(found), layers
 
 
