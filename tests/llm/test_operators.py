@@ -315,6 +315,21 @@ def test_secrets_whole_streams(pack):
         assert secrets.scan(text)[1] == [(2, 0, len(text))]
 
 
+def test_secrets_layers_with_odd_bytes():
+    s = 'token = "abcdefghijklmnop"'
+    for odd in ("\xa0", "\ufeff", "\u200b", "\u3000", "\f", "\0"):
+        assert secrets.scan(base64.b64encode((odd + s).encode()).decode())[1], odd
+    assert secrets.scan(base64.b64encode(b"caf\xe9 " + s.encode()).decode())[1]
+    text = "漢 ?q=caf%E9&token%3Dabcdef123456789"
+    assert [text[b:e] for b, _, e in secrets.scan(text)[1]] == ["token%3Dabcdef123456789"]
+    for pack in (zlib.compress, gzip.compress, bz2.compress):
+        data = pack(s.encode())
+        spelled = ["".join(f"%{b:02X}" for b in data), urllib.parse.quote(data), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1], "".join(f"\\u00{b:02x}" for b in data), base64.b64encode(gzip.compress(data)).decode()]
+        for one in spelled:
+            text = f"see v={one} end"
+            assert any(k == 0 and one.startswith(text[b:b + 8]) and text[e:] in (" end", "= end", "== end") for b, k, e in secrets.scan(text)[1]), (pack, one)
+
+
 def test_secrets_base_against_plain_patterns(rows):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
     for _, t in rows:

@@ -2,8 +2,10 @@
 
 The worklist begins with the whole text. Each layer is scanned; then its encoded stretches are unwrapped and each
 becomes a layer of its own: runs with percent escapes, runs with Unicode or hexadecimal escapes, base64 (both
-alphabets, with or without padding), and bytes that zlib, gzip or bzip2 compressed. A layer whose content was seen
-before in this document isn't entered again, so the worklist ends at its fixpoint; nothing else bounds its depth.
+alphabets, with or without padding), and what zlib, gzip or bzip2 compressed, wherever it begins in the bytes of any
+of these or of another stream's start. Bytes that aren't UTF-8 become replacement characters and the rest is scanned.
+A layer whose content was seen before in this document isn't entered again, so the worklist ends at its fixpoint;
+nothing else bounds its depth.
 
 Every layer keeps, for each of its characters, where that character came from in the document: escapes and base64
 map character by character, a compressed stretch maps as a whole. A match in an inner layer is reported with its
@@ -26,7 +28,7 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -42,9 +44,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
 HEXED = re.compile("%([0-9A-Fa-f]{2})")
-PERCENT = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
+PERCENT = re.compile(r"(?<![!-~])[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)")
+#: As in literals of bytes: the short escapes too.
+SHORT = {"\\a": "\a", "\\b": "\b", "\\t": "\t", "\\n": "\n", "\\v": "\v", "\\f": "\f", "\\r": "\r", "\\0": "\0", "\\'": "'", '\\"': '"', "\\/": "/", "\\\\": "\\"}
+LITERAL = re.compile(ESCAPED.pattern + r"|\\[abtnvfr0'\"/\\]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+STRAY = re.compile("[\udc80-\udcff]")
+#: How gzip, bzip2 and zlib streams begin, how much of them tells, and a part of that in text.
+HEAD = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01^\x9c\xda]")
+HEAD_BYTES = 10
+HEAD_TEXT = re.compile("\x1f\x8b|BZh[1-9]|x[\x01^\x9c\xda]")
 #: Characters of one layer of a decompressed stream, and how far two such pieces overlap.
 PIECE, OVERLAP = 4 << 20, 64 << 10
 
@@ -86,13 +96,10 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _spelled(data: bytes, parent: Layer, place: Callable[[int], tuple[int, int]]) -> Layer | None:
-    """UTF-8 bytes as a layer; ``place`` has where each is in ``parent``."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return Layer(text, parent, place, text)
+def _spelled(data: bytes, parent: Layer, place: Callable[[int], tuple[int, int]]) -> Layer:
+    """Bytes as a layer of UTF-8, each that isn't as a replacement character; ``place`` has where each is in ``parent``."""
+    raw = data.decode("utf-8", "surrogateescape")
+    return Layer(STRAY.sub("\ufffd", raw), parent, place, raw)
 
 
 def _between(starts: list[int]) -> Callable[[int], tuple[int, int]]:
@@ -110,8 +117,30 @@ def _unpercent(layer: Layer) -> Iterator[Layer]:
             i = e.end()
         data += run[i:].encode("ascii")
         starts += range(m.start() + i, m.end() + 1)
-        if found := _spelled(bytes(data), layer, _between(starts)):
-            yield found
+        yield _spelled(bytes(data), layer, _between(starts))
+        yield from _packed(bytes(data), layer, starts)
+
+
+def _character(escape: str) -> str:
+    if escape in SHORT:
+        return SHORT[escape]
+    digits = escape.strip("\\uUx{}&#;")
+    code = int(digits, 10 if escape.startswith("&#") and escape[2] != "x" else 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+
+
+def _unescaped(line: re.Match[str], escapes: re.Pattern[str]) -> tuple[str, list[int]]:
+    """A line without its escapes, and where each character begins and the last ends."""
+    out, starts, i = [], [], 0
+    for m in escapes.finditer(line[0]):
+        out.append(line[0][i : m.start()])
+        starts += range(line.start() + i, line.start() + m.start())
+        out.append(_character(m[0]))
+        starts.append(line.start() + m.start())
+        i = m.end()
+    out.append(line[0][i:])
+    starts += range(line.start() + i, line.end() + 1)
+    return "".join(out), starts
 
 
 def _unescape(layer: Layer) -> Iterator[Layer]:
@@ -120,31 +149,36 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
     for line in re.finditer(r"[^\n]+", layer.text):
         if not ESCAPED.search(line[0]):
             continue
-        out, starts, i = [], [], 0
-        for m in ESCAPED.finditer(line[0]):
-            out.append(line[0][i : m.start()])
-            starts += range(line.start() + i, line.start() + m.start())
-            digits = m[0].strip("\\uUx{}&#;")
-            code = int(digits, 10 if m[0].startswith("&#") and m[0][2] != "x" else 16)
-            out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
-            starts.append(line.start() + m.start())
-            i = m.end()
-        out.append(line[0][i:])
-        starts += range(line.start() + i, line.end() + 1)
-        yield Layer("".join(out), layer, _between(starts))
-
-
-def _opened(data: bytes):
+        text, starts = _unescaped(line, ESCAPED)
+        yield Layer(text, layer, _between(starts))
+        if not HEAD_TEXT.search(text):
+            continue
+        for escapes in (ESCAPED, LITERAL):
+            text, starts = _unescaped(line, escapes)
+            # a character beyond a byte ends a compressed stretch
+            for m in re.finditer("[\0-\xff]+", text):
+                yield from _packed(m[0].encode("latin-1"), layer, starts[m.start() : m.end() + 1])
+
+
+def _opened(data: bytes | memoryview):
     """What decompresses a stream that begins so; None if it isn't one."""
-    for head, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\x78", zlib.decompressobj)):
-        if data.startswith(head):
-            return make()
-    return None
+    head = HEAD.match(data)
+    if head is None:
+        return None
+    return bz2.BZ2Decompressor() if head[0].startswith(b"B") else zlib.decompressobj(31 if head[0].startswith(b"\x1f") else 15)
+
 
+def _inflate(chunks: Iterator[bytes | memoryview]) -> Generator[bytes, None, int | None]:
+    """The pieces of a compressed stream, of all its members; none if it isn't one.
 
-def _inflate(data: bytes) -> Iterator[bytes]:
-    """The pieces of a compressed stream, of all its members; none if it isn't one."""
-    while (machine := _opened(data)) is not None:
+    Returns how many bytes of the last chunk are left behind the members, None if the last of them has no end.
+    """
+    data, left = b"", None
+    while True:
+        while len(data) < HEAD_BYTES and (more := next(chunks, None)) is not None:
+            data = b"".join((data, more)) if data else more
+        if (machine := _opened(data)) is None:
+            return left
         try:
             while not machine.eof:
                 # what a machine still holds comes out with no input: bzip2 has no unconsumed_tail at all
@@ -152,20 +186,57 @@ def _inflate(data: bytes) -> Iterator[bytes]:
                 data = getattr(machine, "unconsumed_tail", b"")
                 if piece:
                     yield piece
-                elif not machine.eof:
-                    return
+                elif not machine.eof and (data := next(chunks, None)) is None:
+                    return None
         except (zlib.error, OSError):
-            return
+            return left
+        left = len(machine.unused_data)
         data = machine.unused_data.lstrip(b"\0")
 
 
-def _inflated(data: bytes, parent: Layer, place: tuple[int, int]) -> Iterator[Layer]:
-    """The pieces of a compressed stream as overlapping layers."""
-    decode, tail = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
-    for piece in _inflate(data):
-        text = tail + decode(piece)
-        yield Layer(text, parent, lambda _: place)
-        tail = text[-OVERLAP:]
+def _extent(data: memoryview) -> tuple[int, bool]:
+    """The length of the compressed stream at the start (0: none), and whether it ends."""
+    pieces, some = _inflate(iter((data,))), False
+    while True:
+        try:
+            some |= bool(next(pieces))
+        except StopIteration as end:
+            return (len(data) - (end.value or 0) if some else 0), end.value is not None
+
+
+def _packed(data: bytes, parent: Layer, starts: Sequence[int]) -> Iterator[Layer]:
+    """The compressed streams anywhere in ``data`` as layers; each maps as a whole. ``starts`` has the bytes' places in ``parent`` and their end."""
+    at = 0
+    while head := HEAD.search(data, at):
+        at = head.start() + 1
+        stream = memoryview(data)[head.start() :]
+        length, ends = _extent(stream)
+        if length:
+            yield from _unfolded(stream[:length], parent, (starts[head.start()], starts[head.start() + length]))
+            if ends:
+                at = head.start() + length
+
+
+def _unfolded(data: bytes | memoryview, parent: Layer, place: tuple[int, int]) -> Iterator[Layer]:
+    """The pieces of a stream as overlapping layers, then those of a stream that is all its content, and so on."""
+    depth, contents = 1, set()
+    while True:
+        pieces = iter((data,))
+        for _ in range(depth):
+            pieces = _inflate(pieces)
+        decode, tail, mark, size, first = codecs.getincrementaldecoder("utf-8")("replace").decode, "", hashlib.blake2b(digest_size=16), 0, b""
+        for piece in pieces:
+            text = tail + decode(piece)
+            yield Layer(text, parent, lambda _: place)
+            tail = text[-OVERLAP:]
+            mark.update(piece)
+            size += len(piece)
+            if size <= PIECE:
+                first += piece
+        if HEAD.match(first) is None or mark.digest() in contents:
+            return
+        contents.add(mark.digest())
+        data, depth = (first, 1) if size <= PIECE else (data, depth + 1)
 
 
 def _unbase64(layer: Layer) -> Iterator[Layer]:
@@ -177,22 +248,9 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        packed = False
-        for inner in _inflated(data, layer, m.span()):
-            packed = True
-            yield inner
-        if packed or not _printable(data):
-            continue
-        if found := _spelled(data, layer, lambda k, at=m.start(), n=len(run): (at + k // 3 * 4 + k % 3, at + min(k // 3 * 4 + k % 3 + 2, n))):
-            yield found
-
-
-def _printable(data: bytes) -> bool:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return all(c.isprintable() or c in "\n\r\t" for c in text)
+        yield _spelled(data, layer, lambda k, at=m.start(), n=len(run): (at + k // 3 * 4 + k % 3, at + min(k // 3 * 4 + k % 3 + 2, n)))
+        if HEAD.search(data):
+            yield from _packed(data, layer, [*(m.start() + k // 3 * 4 + k % 3 for k in range(len(data))), m.end()])
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
