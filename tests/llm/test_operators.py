@@ -330,6 +330,26 @@ def test_secrets_layers_with_odd_bytes():
             assert any(k == 0 and one.startswith(text[b:b + 8]) and text[e:] in (" end", "= end", "== end") for b, k, e in secrets.scan(text)[1]), (pack, one)
 
 
+def test_secrets_glued_and_wrapped_base64():
+    s = 'token = "abcdefghijklmnop"'
+    code = base64.b64encode(s.encode()).decode()
+    for glued in ("https://h.example.com/", "/", "x_", "x-y_", "ab", "abc", "abcd"):
+        text = glued + code + "/more"
+        ((b, k, e),) = secrets.scan(text)[1]
+        assert (b, k) == (len(glued), 0) and text[b:e] == code[: e - b] and e - b >= len(s) * 4 // 3 - 2
+    plain = "".join(f"line {k}, {hashlib.md5(str(k).encode()).hexdigest()[:9]}. " for k in range(9))
+    for width in (64, 76):
+        for sep in ("\n", "\r\n", "\n  ", "\\n"):
+            for cut in range(34, 80, 5):
+                data = (plain[:cut] + s + plain).encode()
+                wrapped = lambda x: sep.join(re.findall(f".{{1,{width}}}", base64.b64encode(x).decode()))
+                text = "see:" + sep + wrapped(data)
+                assert any(k == 0 and e - b - len(sep) * text.count(sep, b, e) >= len(s) * 4 // 3 - 3 for b, k, e in secrets.scan(text)[1])
+                for pack in (zlib.compress, gzip.compress, bz2.compress):
+                    text = "see " + wrapped(pack(data))
+                    assert [(b, k) for b, k, _ in secrets.scan(text)[1]] == [(4, 0)] and len(text) - secrets.scan(text)[1][0][2] <= 2
+
+
 def test_secrets_base_against_plain_patterns(rows):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
     for _, t in rows:

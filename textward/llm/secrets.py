@@ -2,7 +2,7 @@
 
 The worklist begins with the whole text. Each layer is scanned; then its encoded stretches are unwrapped and each
 becomes a layer of its own: runs with percent escapes, runs with Unicode or hexadecimal escapes, base64 (both
-alphabets, with or without padding), and what zlib, gzip or bzip2 compressed, wherever it begins in the bytes of any
+alphabets, with or without padding, at all four alignments, each line and lines joined), and what zlib, gzip or bzip2 compressed, wherever it begins in the bytes of any
 of these or of another stream's start. Bytes that aren't UTF-8 become replacement characters and the rest is scanned.
 A layer whose content was seen before in this document isn't entered again, so the worklist ends at its fixpoint;
 nothing else bounds its depth.
@@ -22,7 +22,6 @@ points; equal spans of one kind are reported once; repeated rows are scanned row
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -50,6 +49,10 @@ ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 SHORT = {"\\a": "\a", "\\b": "\b", "\\t": "\t", "\\n": "\n", "\\v": "\v", "\\f": "\f", "\\r": "\r", "\\0": "\0", "\\'": "'", '\\"': '"', "\\/": "/", "\\\\": "\\"}
 LITERAL = re.compile(ESCAPED.pattern + r"|\\[abtnvfr0'\"/\\]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+#: A single line break, itself or spelled, with the indentation around it; runs joined by such.
+BREAK = re.compile(r"[ \t]*(?:\r\n|\n|\r|(?:\\r)?\\n)[ \t]*")
+JOINED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 STRAY = re.compile("[\udc80-\udcff]")
 #: How gzip, bzip2 and zlib streams begin, how much of them tells, and a part of that in text.
 HEAD = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01^\x9c\xda]")
@@ -204,17 +207,24 @@ def _extent(data: memoryview) -> tuple[int, bool]:
             return (len(data) - (end.value or 0) if some else 0), end.value is not None
 
 
-def _packed(data: bytes, parent: Layer, starts: Sequence[int]) -> Iterator[Layer]:
-    """The compressed streams anywhere in ``data`` as layers; each maps as a whole. ``starts`` has the bytes' places in ``parent`` and their end."""
+def _packed(data: bytes, parent: Layer, starts: Sequence[int], ended: set[int] | None = None) -> Iterator[Layer]:
+    """The compressed streams anywhere in ``data`` as layers; each maps as a whole. ``starts`` has the bytes' places in ``parent`` and their end.
+
+    Streams that begin at a place in ``ended`` were seen to their end before; those of ``data`` are added.
+    """
     at = 0
     while head := HEAD.search(data, at):
         at = head.start() + 1
+        if ended and starts[head.start()] in ended:
+            continue
         stream = memoryview(data)[head.start() :]
         length, ends = _extent(stream)
         if length:
             yield from _unfolded(stream[:length], parent, (starts[head.start()], starts[head.start() + length]))
             if ends:
                 at = head.start() + length
+                if ended is not None:
+                    ended.add(starts[head.start()])
 
 
 def _unfolded(data: bytes | memoryview, parent: Layer, place: tuple[int, int]) -> Iterator[Layer]:
@@ -239,18 +249,30 @@ def _unfolded(data: bytes | memoryview, parent: Layer, place: tuple[int, int]) -
         data, depth = (first, 1) if size <= PIECE else (data, depth + 1)
 
 
-def _unbase64(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
+def _runs(text: str) -> Iterator[tuple[str, Sequence[int], int]]:
+    """Base64 runs, those joined over line breaks first: the letters, where each is, and the end with its padding."""
+    for m in JOINED.finditer(text):
+        if BASE64.search(m[0]):
+            lines = [(x.start() + m.start(), x[0]) for x in LETTERS.finditer(BREAK.sub(lambda x: " " * len(x[0]), m[0]))]
+            yield "".join(x for _, x in lines), [k for at, x in lines for k in range(at, at + len(x))], m.end()
+    for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        yield _spelled(data, layer, lambda k, at=m.start(), n=len(run): (at + k // 3 * 4 + k % 3, at + min(k // 3 * 4 + k % 3 + 2, n)))
-        if HEAD.search(data):
-            yield from _packed(data, layer, [*(m.start() + k // 3 * 4 + k % 3 for k in range(len(data))), m.end()])
+        yield run, range(m.start(), m.start() + len(run)), m.end()
+
+
+def _unbase64(layer: Layer) -> Iterator[Layer]:
+    ended: set[int] = set()
+    for letters, places, end in _runs(layer.text):
+        letters = letters.replace("-", "+").replace("_", "/")
+        # what is glued to the front shifts the rest: one of four alignments has it, wherever it begins
+        for shift in range(4):
+            run, at = letters[shift:], places[shift:]
+            if len(run) % 4 == 1:
+                run = run[:-1]
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+            yield _spelled(data, layer, lambda k, at=at, n=len(run): (at[k // 3 * 4 + k % 3], at[min(k // 3 * 4 + k % 3 + 1, n - 1)] + 1))
+            if HEAD.search(data):
+                yield from _packed(data, layer, [*(at[k // 3 * 4 + k % 3] for k in range(len(data))), end], ended)
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
