@@ -94,6 +94,17 @@ def test_html():
     assert html.extract(html.parse("plain <p>text"), None) == "plain\ntext"
 
 
+def test_html_keeps_what_stands_beside_the_inner_container(spark):
+    lead, tail, many = "<p>" + "Lead words, here. " * 10 + "</p>", "<section><p>And a last word, with thanks.</p></section>", "<p>" + "Some more text, of it. " * 7 + "</p>"
+    page = '<body><div class="post">{}<div class="text">' + many * 12 + "</div>{}</div></body>"
+    for a, b in ((lead, ""), ("", tail), (lead, tail), ("<p>By <a>\n        One Author      </a></p>", "")):
+        got = html.extract_pages(spark.createDataFrame([(k, "http://h.example/", page.format(a, b)) for k in range(3)], "page_id long, url string, html string"))
+        for r in got.collect():
+            assert r["text"].startswith(("Lead words", "By One")) == bool(a) and r["text"].endswith("with thanks.") == bool(b)
+    assert html.best(html.parse(page.format("<p><a>one</a> | <a>two</a></p>", "")))[0].endswith("div.post>div.text")
+    assert html.extract(html.parse("<body><div><a>only a link</a></div></body>"), None) == "only a link"
+
+
 def test_html_consensus(spark):
     good = '<body><div class="main"><p>A long sentence, with words. And one more, here.</p></div><div class="box"><p>{}</p></div></body>'
     rows = [(k, "http://h.example/a", good.format("x")) for k in range(6)] + [(9, "http://h.example/b", good.format("much longer text, here. " * 9)), (10, None, "<p>alone</p>"), (11, "x", None)]

@@ -4,7 +4,8 @@
    (digits become ``0``, ids are left out: ``html>body>div.content-0>article``). Furniture is left out: menus,
    headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles.
 2. Every container is scored: the characters of its text outside links, weighted by its paragraphs and
-   punctuation, less what its links hold; a container inside scores over one around it unless that adds text.
+   punctuation, less what its links hold; of containers around the best with about its score the outermost is taken,
+   then the innermost that holds all its text outside links, so the outer one stays whenever it adds text.
 3. In Spark the pages of a host vote for generalised paths, each with its score's share. Votes are summed per
    (host, path) with partial aggregation, so a hot host costs one row a task.
 4. Each page is extracted again with its host's winning path: the text of all its containers of that path. A page
@@ -56,6 +57,7 @@ MAIN = frozenset("article main content body post entry story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+LETTER = re.compile(r"[^\W_]")
 GAP = re.compile(r"[ \t\n\r\f\v\xa0]+")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -90,23 +92,23 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
 
 
 def parse(page: str | None) -> list[tuple[Element, str, int]]:
-    """Blocks in page order: the container, the text, the characters inside links."""
+    """Blocks in page order: the container, the text, the characters inside links (all, if no letter is outside)."""
     blocks: list[tuple[Element, str, int]] = []
     root = top = Element("#root", "", None, False)
     held: list[str] = []
-    owner, linked, in_link, raw = root, 0, 0, ""
+    owner, linked, in_link, raw, plain = root, 0, 0, "", False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if held:
             text = GAP.sub(" ", entities.unescape("".join(held))).strip()
             if text and not owner.furniture:
-                blocks.append((owner, text, linked))
+                blocks.append((owner, text, min(linked, len(text) - 1) if plain or not linked else len(text)))
             held.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def put(piece: str) -> None:
-        nonlocal owner, linked
+        nonlocal owner, linked, plain
         if top.furniture:
             return
         if not held:
@@ -117,6 +119,8 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
         held.append(piece)
         if in_link:
             linked += len(piece)
+        else:
+            plain = plain or LETTER.search(piece) is not None
 
     def close(to: Element) -> None:
         nonlocal top, in_link
@@ -211,11 +215,25 @@ def best(blocks: list[tuple[Element, str, int]]) -> tuple[str, float, float]:
     if not scores:
         return "", 0.0, 0.0
     top = max(scores.values())
-    # of containers with about the same text, the innermost
-    winner = max((e for e, s in scores.items() if s >= 0.9 * top), key=lambda e: (e.path.count(">"), scores[e]))
+    # of containers with about the best score the outermost around the best one, then inward while every text outside links is held
+    winner = max(scores, key=lambda e: (scores[e], -e.path.count(">")))
+    *_, winner = (e for e in _around(winner) if e is winner or scores.get(e, 0.0) >= 0.9 * top > 0)
+    texts = {e: 0 for e in scores}
+    for owner, text, linked in blocks:
+        for e in _around(owner) if linked < len(text) else ():
+            if e in texts:
+                texts[e] += 1
+    inner = [e for e, s in scores.items() if texts[winner] and texts[e] == texts[winner] and s >= 0.9 * top and winner in _around(e)]
+    winner = max(inner, key=lambda e: e.path.count(">"), default=winner)
     return winner.path, max(0.0, scores[winner]), 1.0
 
 
+def _around(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
 def extract(blocks: list[tuple[Element, str, int]], path: str | None) -> str:
     """The text of the containers of ``path``; of the page's best one if it has none."""
     for wanted in (path, best(blocks)[0]):
