@@ -105,6 +105,13 @@ def test_html_keeps_what_stands_beside_the_inner_container(spark):
     assert html.extract(html.parse("<body><div><a>only a link</a></div></body>"), None) == "only a link"
 
 
+def test_html_scripts_with_unpaired_quotes():
+    for script in ("<script>for(i=0;i<n;i++){} // don't</script>", '<style>/* <b " */</style>', "<script>if(a<b){s='\"'}</script>", "<script>x='<!--'</script>"):
+        page = f"{script}<nav>menu</nav><article><p>One.</p>{script}<p>It's \"here\".</p><p>And it isn't.</p></article><footer>foot</footer>"
+        path, _, _ = html.best(html.parse(page))
+        assert path.endswith("article") and html.extract(html.parse(page), path) == "One.\nIt's \"here\".\nAnd it isn't."
+
+
 def test_html_consensus(spark):
     good = '<body><div class="main"><p>A long sentence, with words. And one more, here.</p></div><div class="box"><p>{}</p></div></body>'
     rows = [(k, "http://h.example/a", good.format("x")) for k in range(6)] + [(9, "http://h.example/b", good.format("much longer text, here. " * 9)), (10, None, "<p>alone</p>"), (11, "x", None)]

@@ -96,7 +96,7 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
     blocks: list[tuple[Element, str, int]] = []
     root = top = Element("#root", "", None, False)
     held: list[str] = []
-    owner, linked, in_link, raw, plain = root, 0, 0, "", False
+    owner, linked, in_link, plain = root, 0, 0, False
 
     def flush() -> None:
         nonlocal linked, plain
@@ -130,17 +130,10 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
             top = top.parent
 
     at, page = 0, page or ""
-    for m in TOKEN.finditer(page):
-        if raw:
-            if m[1] == "/" and m[2].lower() == raw:
-                raw, at = "", m.end()
-                if top.parent is not None:
-                    top = top.parent
-            continue
+    # searched anew from ``at``: after a raw element no token may reach out of its content
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             put(page[at : m.start()])
-        elif m.start() < at:
-            continue
         at = m.end()
         if m[2] is None:
             continue
@@ -174,11 +167,10 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
             top = Element(tag, key, top, furniture)
             in_link += tag == "a"
             if tag in RAW:
-                raw = tag
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                raw, top = "", top.parent
-    if not raw and at < len(page) and not page[at:].lstrip().startswith("<"):
+                top = top.parent
+    if at < len(page) and not page[at:].lstrip().startswith("<"):
         put(page[at:])
     flush()
     return blocks
