@@ -267,6 +267,21 @@ def test_pigeonhole_guarantee():
         assert (k[0] == k[1]).any()
 
 
+def test_distance_follows_the_threshold():
+    import numpy as np
+
+    assert (near.DISTANCE, near.CHUNKS) == (near.distance_of(85), near.chunks_of(near.distance_of(85))) == (17, 9)
+    r = np.random.default_rng(4)
+    for percent in (50, 80, 85, 100):
+        d = near.distance_of(percent)
+        assert near.miss(percent, d) <= near.MISS and (d == 0 or near.miss(percent, d - 1) > near.MISS)
+        for _ in range(200):
+            pair = np.tile(r.integers(0, 1 << 32, near.SYMBOLS, dtype=np.uint32), (2, 1))
+            pair[1, r.permutation(near.SYMBOLS)[:d]] ^= 1
+            a, b = near.keys(pair, near.chunks_of(d))
+            assert (a == b).any() and (d == 0 or near._forest(pair, d) == [(0, 1)])
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,8 +2,8 @@
 
 1. Sketch: a document's set of 5-word shingles (64-bit hashes), a fingerprint of the set, and a signature of
    ``SYMBOLS`` b-bit minhashes (b = 32). Equal sets collapse to their least doc_id.
-2. Pigeonhole: the signature is cut into ``CHUNKS`` chunks. Two signatures that differ in at most ``DISTANCE``
-   symbols agree on some chunk but for ``DISTANCE // CHUNKS`` = 1 symbol. The allowed errors are enumerated by
+2. Pigeonhole: the threshold sets a signature distance, and that the number of chunks the signature is cut into
+   (17 and 9 at 85). Two signatures within the distance agree on some chunk but for at most 1 symbol. The allowed errors are enumerated by
    masking each symbol of a chunk in turn, so such a pair shares one of 40 keys for certain.
 3. A key's rows are tied to the key's least id, never to one another; the ties' components are families. Every
    pair within the signature distance lies inside one family.
@@ -13,8 +13,8 @@
    Documents outside the family's largest class so far are compared with all others, by pairs of blocks.
 5. The links' components give each document its class.
 
-At Jaccard J a symbol differs with probability 1 - J. At J = 0.85 and 40 symbols the chance that more than 17 of
-them differ is below 1e-5 for a pair; larger groups are tied by many pairs. So step 2 loses no link in practice,
+At Jaccard J a symbol differs with probability 1 - J. The distance is the least at which a pair at the threshold is
+beyond it with a chance of ``MISS`` at most, whatever the threshold; larger groups are tied by many pairs. So step 2 loses no link in practice,
 and step 4 admits none that the full sets don't confirm.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and is kept; rows with fewer than five
@@ -25,6 +25,7 @@ and kept; an empty table gives an empty result; other columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from textward.llm.common import bound_batches, materialise, texts
 from textward.llm.graph import components
 from textward.llm.hashing import WordHash, mix, shingles
 
-SYMBOLS, CHUNKS, DISTANCE = 40, 9, 17
+SYMBOLS = 40
+#: The chance at most that a pair exactly at the threshold has signatures farther apart than the distance.
+MISS = 1e-5
 #: Documents of a block; a task holds two blocks.
 BLOCK = 256
 #: Signatures of a block (160 bytes each), by which large families are cut first.
@@ -48,6 +51,26 @@ BROADCAST_IDS = 1_000_000
 #: Shingles that are intersected at once.
 COLUMNS = 1 << 14
 
+
+def miss(percent: int, distance: int) -> float:
+    """The chance that more than ``distance`` symbols differ at a similarity of ``percent``."""
+    p = 1 - percent / 100
+    return sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+
+
+def distance_of(percent: int) -> int:
+    """The least signature distance that misses a pair at ``percent`` with a chance of ``MISS`` at most."""
+    return next(d for d in range(SYMBOLS + 1) if miss(percent, d) <= MISS)
+
+
+def chunks_of(distance: int) -> int:
+    """So many chunks that one of them has one differing symbol at most."""
+    return distance // 2 + 1
+
+
+DISTANCE = distance_of(85)
+CHUNKS = chunks_of(DISTANCE)
+
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 SKETCH = "doc_id long, n_shingles long, fingerprint binary, signature binary"
 
@@ -60,15 +83,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(32)).astype(np.uint32)
 
 
-def chunks() -> list[np.ndarray]:
-    return np.array_split(np.arange(SYMBOLS), CHUNKS)
+def chunks(n: int = CHUNKS) -> list[np.ndarray]:
+    return np.array_split(np.arange(SYMBOLS), n)
 
 
-def keys(signatures: np.ndarray) -> np.ndarray:
+def keys(signatures: np.ndarray, n: int = CHUNKS) -> np.ndarray:
     """A column for each chunk and masked symbol: 64-bit keys of the other symbols."""
     out = []
     wide = signatures.astype(np.uint64)
-    for c in chunks():
+    for c in chunks(n):
         for masked in c:
             key = np.full(len(wide), int(masked) + 1, np.uint64)
             for k in c:
@@ -96,20 +119,20 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
     return texts(docs).mapInArrow(run, SKETCH)
 
 
-def _exploded(reps: DataFrame) -> DataFrame:
+def _exploded(reps: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, SYMBOLS)
-            flat = keys(signs).view(np.int64)
+            flat = keys(signs, n).view(np.int64)
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(flat.ravel(), pa.int64()), pa.array(ids, pa.int64())], names=["key", "id"])
 
     return reps.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def ties(reps: DataFrame) -> DataFrame:
+def ties(reps: DataFrame, n: int = CHUNKS) -> DataFrame:
     """(a, b): each id and the least id that shares a key with it."""
-    exploded = materialise(_exploded(reps), "keys")
+    exploded = materialise(_exploded(reps, n), "keys")
     hubs = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     return exploded.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
@@ -143,14 +166,14 @@ def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
     return out
 
 
-def _forest(signs: np.ndarray) -> list[tuple[int, int]]:
+def _forest(signs: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within the signature distance: a search from row to row over those not reached yet."""
     left, out = np.arange(len(signs)), []
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
             i = reached.pop()
-            close = (signs[left] != signs[i]).sum(1) <= DISTANCE
+            close = (signs[left] != signs[i]).sum(1) <= distance
             out += [(int(i), int(j)) for j in left[close]]
             reached += left[close].tolist()
             left = left[~close]
@@ -168,7 +191,7 @@ def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
     return paired.select(*columns, "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
 
 
-def refined(reps: DataFrame, family: DataFrame) -> DataFrame:
+def refined(reps: DataFrame, family: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """id, root: families of more than ``BLOCK`` members are cut into the components of their signature-distance graph.
 
     Their signatures are dealt to blocks of ``SIGN_BLOCK`` and each pair of blocks is a task of its own. Members with
@@ -185,7 +208,7 @@ def refined(reps: DataFrame, family: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
         signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, SYMBOLS)
-        found = _forest(signs)
+        found = _forest(signs, distance)
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     cut = components(tasks.groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long"))
@@ -245,7 +268,8 @@ def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     bound_batches(docs.sparkSession)
     drawn = materialise(sketch(docs, k), "sketch")
     reps = materialise(drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "reps")
-    family = refined(reps, materialise(components(ties(reps)), "families"))
+    distance = distance_of(percent)
+    family = refined(reps, materialise(components(ties(reps, chunks_of(distance))), "families"), distance)
     root = components(links(docs, family, percent, k))
     of = reps.select("fingerprint", "id").join(root, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("root"))
     # rows that share a doc_id are one document: the least class of its texts
