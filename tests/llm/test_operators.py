@@ -154,6 +154,27 @@ def test_decontamination_against_brute_force():
             assert w[p : p + n] == s[q : q + n] and (p + n == len(w) or q + n == len(s) or w[p + n] != s[q + n])
 
 
+def test_decontamination_longest_match(spark):
+    import random
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 40))) for _ in range(60)] + ["a " * 9_000]
+    items = [(str(k), " ".join(r.choice("abcd") for _ in range(r.randint(1, 14)))) for k in range(12)] + [("x", "a " * 12)]
+    for block_bytes in (1 << 20, 60):
+        got = table(decontaminate.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=6, block_bytes=block_bytes))
+        for k, t in enumerate(texts):
+            w, best = t.split()[:100], (0, None, None, None)
+            for i, s in items:
+                s = s.split()
+                for q in range(len(s) - min(6, len(s)) + 1):
+                    for p in range(len(w)):
+                        n = next((n for n in range(len(s) - q) if p + n >= len(w) or w[p + n] != s[q + n]), len(s) - q)
+                        if n >= min(6, len(s)):
+                            best = min(best, (-n, i, p, q))
+            x = got[k]
+            assert (-x["longest_words"], x["longest_item"], x["longest_at"], x["longest_item_at"]) == best and x["contaminated"] == (best[0] < 0)
+
+
 def test_decontamination_blocks(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one, many = table(decontaminate.report(docs, bench)), table(decontaminate.report(docs, bench, block_bytes=1500))

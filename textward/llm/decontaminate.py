@@ -2,9 +2,10 @@
 
 Each Arrow batch of whole documents is a shard of the training text. A shard keeps the word runs in which every
 word triple occurs somewhere in the benchmark (no other place can hold a match that counts), builds their suffix
-array by prefix doubling, and binary-searches every benchmark suffix in it: the range of training suffixes that
-begin with the item's window, and the longest verbatim match at either neighbour of the insertion point. Shards
-are independent, so nothing is shuffled and no group of copies meets in one task.
+array by prefix doubling, and binary-searches every benchmark suffix of a full window in it: the range of training
+suffixes that begin with that window. Each of the range is followed to the end of its verbatim match, and the report
+has the longest match of a document and its place. Suffixes shorter than the item's window can't count and aren't
+searched. Shards are independent, so nothing is shuffled and no group of copies meets in one task.
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of text, one broadcast each, and a shard
 searches block after block; the driver holds one block at a time, whatever the size of the benchmark.
@@ -35,7 +36,9 @@ SHARD_WORDS = 2_000_000
 #: A-Z to a-z; ASCII other than digits and letters to a space; other bytes stay.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long, longest_item_at long"
+#: Matches that are followed at once.
+FOLLOWED = 4096
 MATCHES = "doc_id long, item_id string, word_at long, item_word_at int, n_words int"
 
 
@@ -124,9 +127,10 @@ def search(seq: np.ndarray, order: np.ndarray, want: np.ndarray, length: np.ndar
     return lo
 
 
-def search_shard(docs: list[list[bytes]], block: Block, longest: bool = False) -> tuple[list[np.ndarray], list[set[str]], list[tuple[int, str, int, int, int]]]:
+def search_shard(docs: list[list[bytes]], block: Block, longest: bool = False, best: bool = False) -> tuple[list[np.ndarray], list[set[str]], list[tuple[int, str, int, int, int]]]:
     """For each document its hit words (as word numbers) and items; with ``longest``, the longest matches too:
-    (document, item, word of the document, word of the item, words), for each document position that a match begins."""
+    (document, item, word of the document, word of the item, words), for each document position that a match begins;
+    with ``best``, of each benchmark suffix only the first longest one in a document."""
     none = [np.zeros(0, np.int64) for _ in docs], [set() for _ in docs], []
     if not len(block.item):
         return none
@@ -173,11 +177,17 @@ def search_shard(docs: list[list[bytes]], block: Block, longest: bool = False) -
         full = block.suffix[opens[found]]
         length = (full >= 0).sum(1)
         for f, row, n in zip(found, full, length, strict=True):
-            at = order[lo[f] : hi[f]]
-            shared, _ = _compare(seq, at, np.broadcast_to(row, (len(at), len(row))), np.full(len(at), n))
-            where = place[at]
-            for p, s, d in zip(where, shared, np.searchsorted(offsets, where, side="right") - 1, strict=True):
-                matches.append((int(d), block.ids[block.item[opens[f]]], int(p - offsets[d]), int(block.at[opens[f]]), int(s)))
+            for k in range(lo[f], hi[f], FOLLOWED):
+                at = order[k : min(k + FOLLOWED, hi[f])]
+                shared, _ = _compare(seq, at, np.broadcast_to(row[:n], (len(at), n)), np.full(len(at), n))
+                where = place[at]
+                own = np.searchsorted(offsets, where, side="right") - 1
+                if best:
+                    first = np.lexsort((where, -shared, own))
+                    first = first[np.insert(np.diff(own[first]) > 0, 0, True)]
+                    where, shared, own = where[first], shared[first], own[first]
+                for p, s, d in zip(where, shared, own, strict=True):
+                    matches.append((int(d), block.ids[block.item[opens[f]]], int(p - offsets[d]), int(block.at[opens[f]]), int(s)))
     hits = [np.flatnonzero(marks[o : o + len(d)]) for o, d in zip(offsets, docs, strict=True)]
     return hits, items, matches
 
@@ -206,7 +216,9 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: its words, those inside a benchmark window, the items, and whether it is contaminated."""
+    """One row per document: its words, those inside a benchmark window, the items, whether it is contaminated, and its
+    longest verbatim match: words, item, the word where it begins in the document and in the item (the first by these
+    of equally long ones; 0 and nulls without a hit)."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = blocks(benchmark, window, block_bytes)
@@ -214,22 +226,27 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, all_docs = batch.column("doc_id"), [words(t) for t in batch.column("text").to_pylist()]
-            n_hit, names = [], []
+            n_hit, names, longest = [], [], []
             for lo, hi in _shards(all_docs):
                 docs_ = all_docs[lo:hi]
                 hits, items = [np.zeros(0, np.int64)] * len(docs_), [set() for _ in docs_]
+                top: list[tuple] = [(0, None, None, None)] * len(docs_)
                 for b in shared:
-                    found, own, _ = search_shard(docs_, b.value)
+                    found, own, matches = search_shard(docs_, b.value, longest=True, best=True)
+                    for d, i, p, q, n in matches:
+                        top[d] = min(top[d], (-n, i, p, q))
                     hits = [np.union1d(x, y) if len(x) else y for x, y in zip(hits, found, strict=True)]
                     items = [x | y for x, y in zip(items, own, strict=True)]
                 n_hit += [len(h) for h in hits]
                 names += [sorted(x) for x in items]
+                longest += top
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.cast(pa.int64()), pa.array([len(d) for d in all_docs], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()),
+                    pa.array([-x[0] for x in longest], pa.int64()), pa.array([x[1] for x in longest], pa.string()), pa.array([x[2] for x in longest], pa.int64()), pa.array([x[3] for x in longest], pa.int64()),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_item", "longest_at", "longest_item_at"],
             )
 
     return texts(docs).mapInArrow(run, REPORT)

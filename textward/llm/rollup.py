@@ -7,8 +7,7 @@ batches, so their order doesn't matter, and a batch costs by its changes, never
 
 Commits are idempotent: a batch is written to a name of its own and then renamed to ``batch=<id>``. If that name
 exists the batch was committed before, and the new copy is dropped. A driver that dies before the rename leaves
-nothing that readers see. ``compact`` sums committed batches into one, whose folder names the batches it stands
-for; these can't be committed again.
+nothing that readers see.
 
 Defined cases: null source, language or version is the group ``''``; null token counts are 0; groups whose
 documents and tokens all return to 0 drop out of the totals; an empty batch is committed and changes nothing;
