@@ -344,7 +344,7 @@ def test_line_dedup_against_brute_force(spark):
         made = [(i, "\n".join(r.choice(voc) for _ in range(r.randint(0, 14)))) for i in range(25)]
         made += [(100 + k, made[k][1]) for k in range(5)]
         got = table(linedup.delete(spark.createDataFrame(made, "doc_id long, text string"), min_words=7))
-        assert {i: (x["_n_lines"], x["_n_removed"], x["text"]) for i, x in got.items()} == brute_lines(made, 7)
+        assert {i: (x["n_lines"], x["n_removed"], x["text"]) for i, x in got.items()} == brute_lines(made, 7)
 
 
 def test_secrets_base_and_layers():
