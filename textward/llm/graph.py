@@ -1,30 +1,34 @@
-"""Connected components of an edge table, by alternating large and small stars. Nothing reaches the driver but counts."""
+"""Connected components of an edge table, by alternating large and small stars. Nothing reaches the driver but counts.
+
+A hub may have most edges: its neighbourhood is aggregated before it is shuffled, and the least of it comes back to
+its edges by ``join_keys``, which broadcasts the hubs and shuffles the rest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import materialise
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the least of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+from textward.llm.common import discard, join_keys, materialise
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are tied to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(least.select("a", F.col("m").alias("b")))
+def _round(edges: DataFrame) -> DataFrame:
+    """A large star, then a small one. ``edges``: (a, b), a > b, each once; so is the result."""
+    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    # every larger neighbour of a node is tied to the least of its neighbourhood, itself included
+    around = edges.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
+    around = materialise(around, "around")
+    wide = materialise(join_keys(up, around, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+    # a node and its smaller neighbours are tied to the least of them
+    below = materialise(wide.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "below")
+    tied = join_keys(wide, below, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    out = materialise(tied.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    discard(around, wide, below)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, root (the least id of its component) for every id of ``edges`` (a, b); a hot node's edges are aggregated before they are shuffled."""
+    """id, root (the least id of its component) for every id of ``edges`` (a, b)."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         # a forest of stars: every node below has one parent, and no parent hangs below another
@@ -32,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         loose = ends.groupBy("id").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 OR (above > 0 AND below > 0)")
         if loose.isEmpty():
             break
-        now = materialise(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
+        before, now = now, _round(now)
+        discard(before)
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

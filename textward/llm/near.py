@@ -19,7 +19,8 @@ and step 4 admits none that the full sets don't confirm.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and is kept; rows with fewer than five
 words have one shingle; rows with one doc_id are one document of the graph; a null doc_id is its own class (null)
-and kept; an empty table gives an empty result; other columns are dropped.
+and kept; an empty table gives an empty result; other columns are dropped. ``deduplicate`` goes by rows of equal
+doc_id and text instead, so rows that share a doc_id but no text lose none but near copies.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import bound_batches, materialise, texts
+from textward.llm.common import bound_batches, fresh, join_keys, materialise, texts, trim, trimmed
 from textward.llm.graph import components
 from textward.llm.hashing import WordHash, mix, shingles
 
@@ -46,8 +47,8 @@ BLOCK = 256
 SIGN_BLOCK = 4096
 #: Members of a large family that every block of it is compared with.
 PIVOTS = 8
-#: Ids that may be broadcast (8 bytes each), of family members to pick their texts, of copies to drop them; beyond, a shuffled join does.
-BROADCAST_IDS = 1_000_000
+#: Rows that may be broadcast (40 bytes each at most), of family members to pick their texts, of copies to drop them; beyond, a shuffled join does.
+BROADCAST_IDS = 500_000
 #: Shingles that are intersected at once.
 COLUMNS = 1 << 14
 
@@ -107,7 +108,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for batch in batches:
+        for batch in trimmed(batches):
             sets = [shingles(t, memo, k) for t in batch.column("text").to_pylist()]
             marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signs = [signature(s).tobytes() if len(s) else None for s in sets]
@@ -133,8 +134,8 @@ def _exploded(reps: DataFrame, n: int) -> DataFrame:
 def ties(reps: DataFrame, n: int = CHUNKS) -> DataFrame:
     """(a, b): each id and the least id that shares a key with it."""
     exploded = materialise(_exploded(reps, n), "keys")
-    hubs = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    return exploded.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = materialise(exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    return join_keys(exploded, hubs, ["key"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -186,8 +187,8 @@ def _blocks(family: DataFrame, size: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each pair of blocks that a member (own, others: an array) takes part in."""
-    paired = rows.select(*columns, "root", "own", F.explode("others").alias("other"))
+    """A row for each pair of blocks that a member takes part in: its ``own`` with those from ``low`` to ``high``."""
+    paired = rows.select(*columns, "root", "own", F.explode(F.sequence("low", "high")).alias("other"))
     return paired.select(*columns, "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"))
 
 
@@ -203,7 +204,7 @@ def refined(reps: DataFrame, family: DataFrame, distance: int = DISTANCE) -> Dat
     blocks = F.ceil(F.col("n") / SIGN_BLOCK).cast("int")
     size = members.groupBy("root").agg(F.count("*").alias("n")).select("root", blocks.alias("blocks"))
     dealt = members.join(size, "root").join(reps.select("id", "signature"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = _pairs(dealt.withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1)), "id", "signature")
+    tasks = _pairs(dealt.withColumns({"low": F.lit(0), "high": F.col("blocks") - 1}), "id", "signature")
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -215,22 +216,31 @@ def refined(reps: DataFrame, family: DataFrame, distance: int = DISTANCE) -> Dat
     return materialise(family.join(large, "root", "left_anti").select("id", "root").unionByName(cut.select("id", "root")), "refined")
 
 
-def _compared(docs: DataFrame, dealt: DataFrame, count: int, percent: int, k: int) -> DataFrame:
-    """(a, b): a spanning forest of the confirmed links of each pair of blocks. ``dealt``: id, root, own, others."""
-    rows = texts(docs)
-    placed = rows.join(F.broadcast(dealt) if count <= BROADCAST_IDS else dealt, F.col("doc_id") == F.col("id"))
+def _compared(docs: DataFrame, reps: DataFrame, dealt: DataFrame, count: int, percent: int, k: int) -> DataFrame:
+    """(a, b): a spanning forest of the confirmed links of each pair of blocks. ``dealt``: id, root, own, low, high (five numbers a row, whatever the family)."""
+    dealt = dealt.join(reps.select("id", "doc_id", "fingerprint"), "id")
+    few = count <= BROADCAST_IDS
+    placed = texts(docs).join(F.broadcast(materialise(dealt, "dealt")) if few else dealt, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
         memo = WordHash()
         sets = [shingles(t, memo, k) for t in table.column("text").to_pylist()]
-        found = [(ids[i], ids[j]) for i, j in confirmed(sets, np.array(table.column("side").to_pylist(), bool), percent)]
+        # the doc_id may have other rows as well, and equal ones
+        seen: dict[int, int] = {}
+        for n, (i, mark, s) in enumerate(zip(table.column("id").to_pylist(), table.column("fingerprint").to_pylist(), sets, strict=True)):
+            if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == mark:
+                seen.setdefault(i, n)
+        ids, at = list(seen), list(seen.values())
+        side = np.array(table.column("side").to_pylist(), bool)[at]
+        found = [(ids[i], ids[j]) for i, j in confirmed([sets[n] for n in at], side, percent)]
+        del sets, memo
+        trim()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return _pairs(placed, "id", "text").groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long")
+    return _pairs(placed, "id", "text", "fingerprint").groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataFrame:
     """(a, b): confirmed links that span each family's classes. ``family``: id, root.
 
     First each block is compared within itself and with the family's ``PIVOTS``. In families of several blocks that
@@ -242,9 +252,9 @@ def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataF
     pivots = family.join(large, "root").groupBy("root", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS))).agg(F.min("id").alias("id")).select("id", F.lit(True).alias("pivot"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     # a block's task is keyed by (own, own): a pivot takes the number of the block that it visits
-    first = dealt.join(pivots, "id", "left").withColumn("own", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own")))).withColumn("others", F.array("own"))
+    first = dealt.join(pivots, "id", "left").withColumn("own", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own")))).withColumns({"low": F.col("own"), "high": F.col("own")})
     count = family.count()
-    begun = materialise(_compared(docs, first.select("id", "root", "own", "others"), count, percent, k), "links")
+    begun = materialise(_compared(docs, reps, first.select("id", "root", "own", "low", "high"), count, percent, k), "links")
     if large.isEmpty():
         return begun
     so_far = components(begun).withColumnRenamed("root", "class")
@@ -258,33 +268,79 @@ def links(docs: DataFrame, family: DataFrame, percent: int, k: int = 5) -> DataF
         return begun
     rest = held.join(apart, "root").withColumn("in", F.col("class") == F.col("main"))
     own = F.when(F.col("in"), F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int")
-    others = F.sequence(F.when(F.col("in"), F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)
-    second = rest.select("id", "root", own.alias("own"), others.alias("others"))
-    return begun.unionByName(_compared(docs, second, count, percent, k))
+    second = rest.select("id", "root", own.alias("own"), F.when(F.col("in"), F.col("inner")).otherwise(F.lit(0)).alias("low"), (F.col("inner") + F.col("outer") - 1).alias("high"))
+    return begun.unionByName(_compared(docs, reps, second, count, percent, k))
 
 
-def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (it is its own class's)."""
+def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of ``docs``; and for each fingerprint its class: the least (doc_id, fingerprint) of it as ``top``, and n rows.
+
+    A set's node is its least doc_id; of several sets with that doc_id the least, and a hash of themselves for the others."""
     bound_batches(docs.sparkSession)
     drawn = materialise(sketch(docs, k), "sketch")
-    reps = materialise(drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "reps")
+    equal = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint")
+    reps = materialise(equal.agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.count("*").alias("n")), "reps")
+    shared = materialise(reps.groupBy("doc_id").agg(F.min("fingerprint").alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "shared")
+    if shared.isEmpty():
+        reps = reps.withColumn("id", F.col("doc_id"))
+    else:
+        own = F.col("least").isNull() | (F.col("least") == F.col("fingerprint"))
+        reps = materialise(reps.join(shared, "doc_id", "left").withColumn("id", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("fingerprint"))).drop("least"), "reps")
     distance = distance_of(percent)
     family = refined(reps, materialise(components(ties(reps, chunks_of(distance))), "families"), distance)
-    root = components(links(docs, family, percent, k))
-    of = reps.select("fingerprint", "id").join(root, "id", "left").select("fingerprint", F.coalesce("root", "id").alias("root"))
-    # rows that share a doc_id are one document: the least class of its texts
-    out = drawn.join(of, "fingerprint", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    root = components(links(docs, reps, family, percent, k))
+    of = materialise(reps.select("fingerprint", "doc_id", "n", "id").join(root, "id", "left").withColumn("root", F.coalesce("root", "id")), "classes")
+    tops = of.groupBy("root").agg(F.min(F.struct("doc_id", "fingerprint")).alias("top"), F.count("*").alias("n"))
+    named = join_keys(of.select("root", "fingerprint", F.col("n").alias("rows")), materialise(tops, "tops"), ["root"])
+    return drawn, materialise(named.select("fingerprint", "top", F.col("rows").alias("n")), "named")
+
+
+def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (it is its own class's)."""
+    drawn, of = _grouped(docs, percent, k)
+    linked = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
+    some = join_keys(drawn.where(linked).select("fingerprint", "doc_id", "n_shingles"), of, ["fingerprint"]).select("doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"))
+    out = some.unionByName(drawn.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _dropped(docs: DataFrame, ids: DataFrame, few: bool, how: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows of these doc_ids (or with ``left_semi`` only those); the column's own name and kind stay."""
+    name = fresh("id", docs.columns)
+    ids = ids.select(F.col("doc_id").alias(name))
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(name), how)
+
+
 def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """``docs`` with one document of each class; all columns stay. Of rows that share a doc_id one stays."""
-    decided = materialise(classes(docs, percent, k), "classes")
-    gone = decided.where("NOT kept").select("doc_id").distinct()
-    again = decided.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """``docs`` with one row of each class; all columns stay.
+
+    The row of a class with the least doc_id stays, of several sets with that doc_id the least by fingerprint, of rows
+    with equal doc_id and set any one. Rows without words or doc_id stay.
+    """
+    drawn, of = _grouped(docs, percent, k)
+    rows = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "fingerprint")
+    judged = join_keys(rows, of, ["fingerprint"]).select("doc_id", "fingerprint", (F.struct("doc_id", "fingerprint") == F.col("top")).alias("stays"))
+    ids = materialise(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays")), "judged")
+    gone, again = ids.where("NOT stays").select("doc_id"), ids.where("stays AND n > 1").select("doc_id")
     # the texts stay where they are while the list of ids is small enough to be broadcast; beyond, both sides are shuffled
-    small = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    if again.isEmpty():
+    n, more = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.expr("stays AND n > 1"))).first()
+    left = _dropped(docs, gone, n <= BROADCAST_IDS)
+    if not more:
         return left
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    # a doc_id with several rows, one of which stays: they are told apart by their sets
+    mark, columns = fresh("mark", docs.columns), docs.columns
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for batch in trimmed(batches):
+            sets = [shingles(t, memo, k) for t in batch.column(len(columns)).to_pylist()]
+            marks = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), marks], names=[*columns, mark])
+
+    several = _dropped(docs, again, more <= BROADCAST_IDS, "left_semi").withColumn(mark, body).mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(mark, "binary"))
+    a, b = fresh("id", [*columns, mark]), fresh("set", [*columns, mark])
+    tops = of.select(F.col("top.doc_id").alias(a), F.col("top.fingerprint").alias(b)).distinct().join(again.withColumnRenamed("doc_id", a), a, "left_semi")
+    one = several.where(F.col(mark).isNotNull()).join(tops, (F.col("doc_id").cast("long") == F.col(a)) & (F.col(mark) == F.col(b)), "left_semi").dropDuplicates(["doc_id", mark])
+    alone = _dropped(left, again, more <= BROADCAST_IDS)
+    return alone.unionByName(one.select(columns)).unionByName(several.where(F.col(mark).isNull()).select(columns))
