@@ -7,12 +7,14 @@ suffixes that begin with that window. Each of the range is followed to the end o
 has the longest match of a document and its place. Suffixes shorter than the item's window can't count and aren't
 searched. Shards are independent, so nothing is shuffled and no group of copies meets in one task.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of text, one broadcast each, and a shard
-searches block after block; the driver holds one block at a time, whatever the size of the benchmark.
+The benchmark goes to the executors in blocks of about ``BLOCK_BYTES`` of text (or one item, if that is longer), one
+broadcast each, and a shard searches block after block; the driver and a worker hold one block at a time. A block is
+flat arrays of its words, so its size follows its text, however long an item is.
 
 Defined cases: a null or empty text has no words, no hits and is kept; an item without words never occurs; an item
-of fewer than ``window`` words is one window of its own length; repeated items count each; rows with one doc_id are
-reported row by row; an empty benchmark contaminates nothing; further columns are dropped from the reports.
+of fewer than ``window`` words is one window of its own length; benchmark rows of one item_id are one item, found
+where any of them is; rows with one doc_id are reported row by row; an empty benchmark contaminates nothing; further
+columns are dropped from the reports.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import bound_batches, texts
+from textward.llm.common import bound_batches, texts, trimmed
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one broadcast may hold.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Words of one sub-shard; a document is never split.
 SHARD_WORDS = 2_000_000
 
@@ -37,8 +39,10 @@ SHARD_WORDS = 2_000_000
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long, longest_item_at long"
-#: Matches that are followed at once.
-FOLLOWED = 4096
+#: Matches that are followed at once, and words by which they are.
+FOLLOWED, STEP = 4096, 64
+#: Windows that are searched at once.
+SEARCHED = 1 << 18
 MATCHES = "doc_id long, item_id string, word_at long, item_word_at int, n_words int"
 
 
@@ -47,32 +51,27 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """A block of items: their words as numbers from 2, their windows and suffixes."""
+    """A block of items: their words as numbers from 2, one item behind the other, and where windows begin."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        seqs = [(i, [self.vocab.setdefault(w, len(self.vocab) + 2) for w in ws]) for i, t in items if (ws := words(t))]
+        seqs = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 2) for w in ws], np.int32)) for i, t in items if (ws := words(t))]
         self.ids = [i for i, _ in seqs]
-        longest = max((len(s) for _, s in seqs), default=0)
-        self.longest = longest
-        starts = [(k, j) for k, (_, s) in enumerate(seqs) for j in range(len(s))]
-        #: A row for each suffix of each item, padded by -1, which no training word equals.
-        self.suffix = np.full((len(starts), longest), -1, np.int32)
-        for r, (k, j) in enumerate(starts):
-            s = seqs[k][1]
-            self.suffix[r, : len(s) - j] = s[j:]
-        self.item = np.array([k for k, _ in starts], np.int32)
-        self.at = np.array([j for _, j in starts], np.int32)
-        length = np.array([len(seqs[k][1]) - j for k, j in starts], np.int32)
-        whole = np.array([len(seqs[k][1]) for k, _ in starts], np.int32)
-        self.need = np.minimum(window, whole)  # words of a window of this item
-        self.opens = length >= self.need  # a window begins here
-        self.least = int(self.need.min()) if len(starts) else 0
+        size = np.array([len(s) for _, s in seqs], np.int64)
+        ends = np.cumsum(size)
+        self.longest = int(size.max()) if len(size) else 0
+        self.flat = np.concatenate([s for _, s in seqs]) if seqs else np.zeros(0, np.int32)
+        need = np.minimum(window, size)  # words of a window of each item
+        #: The suffixes that open a window: their items, their places among all words, in the item and to its end, their windows.
+        self.item = np.repeat(np.arange(len(seqs)), size - need + 1)
+        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(size - need + 1) - (size - need + 1), size - need + 1)
+        self.place = (ends - size)[self.item] + self.at
+        self.left = size[self.item] - self.at
+        self.need = need[self.item]
         #: Runs of this many words select the training positions that can matter: 3, or fewer if an item is shorter.
-        self.seed = min(3, self.least)
-        size = np.int64(len(self.vocab) + 2)
-        self.size = size
-        grams = [self._code(np.array(s, np.int64)) for _, s in seqs]
+        self.seed = min(3, int(need.min())) if len(need) else 0
+        self.size = np.int64(len(self.vocab) + 2)
+        grams = [self._code(s.astype(np.int64)) for _, s in seqs]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
 
     def _code(self, w: np.ndarray) -> np.ndarray:
@@ -104,26 +103,41 @@ def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _compare(seq: np.ndarray, at: np.ndarray, want: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: the words that the training suffix at ``at`` shares with ``want``, up to ``length``; and whether it sorts below."""
-    look = at[:, None] + np.arange(want.shape[1])
+def _compare(seq: np.ndarray, at: np.ndarray, want: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: the words that the training suffix at ``at`` shares with the ``length`` words of ``want`` from ``begin`` on; and whether it sorts below."""
+    width = np.arange(int(length.max()) if len(length) else 0)
+    look, ask = at[:, None] + width, begin[:, None] + width
     have = np.where(look < len(seq), seq[np.minimum(look, len(seq) - 1)], -2)
-    differs = (have != want) | (np.arange(want.shape[1]) >= length[:, None])
-    shared = np.where(differs.any(1), differs.argmax(1), want.shape[1])
-    row, col = np.arange(len(at)), np.minimum(shared, want.shape[1] - 1)
-    return shared, (shared < length) & (have[row, col] < want[row, col])
-
-
-def search(seq: np.ndarray, order: np.ndarray, want: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
-    """The first place in ``order`` whose suffix isn't below ``want``'s first ``length`` words (upper: that is above them)."""
-    lo, hi = np.zeros(len(want), np.int64), np.full(len(want), len(order), np.int64)
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        shared, below = _compare(seq, order[np.minimum(mid, len(order) - 1)], want, length)
+    need = want[np.minimum(ask, len(want) - 1)]
+    differs = (have != need) & (width < length[:, None])
+    shared = np.where(differs.any(1), differs.argmax(1), length)
+    row, col = np.arange(len(at)), np.minimum(shared, len(width) - 1)
+    return shared, (shared < length) & (have[row, col] < need[row, col])
+
+
+def _followed(seq: np.ndarray, at: np.ndarray, want: np.ndarray, begin: int, length: int) -> np.ndarray:
+    """How many of the ``length`` words of ``want`` from ``begin`` on each training suffix shares, ``STEP`` by ``STEP``."""
+    shared, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
+    for k in range(0, length, STEP):
+        if not len(open_):
+            break
+        step = min(STEP, length - k)
+        more, _ = _compare(seq, at[open_] + k, want, np.full(len(open_), begin + k), np.full(len(open_), step))
+        shared[open_] += more
+        open_ = open_[more == step]
+    return shared
+
+
+def search(seq: np.ndarray, order: np.ndarray, want: np.ndarray, begin: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+    """The first place in ``order`` whose suffix isn't below the ``length`` words of ``want`` from ``begin`` on (upper: that is above them)."""
+    lo, hi = np.zeros(len(begin), np.int64), np.full(len(begin), len(order), np.int64)
+    while len(open_ := np.flatnonzero(lo < hi)):
+        mid = (lo[open_] + hi[open_]) // 2
+        shared, below = _compare(seq, order[mid], want, begin[open_], length[open_])
         if upper:
-            below = below | (shared >= length)
-        lo = np.where(open_ & below, mid + 1, lo)
-        hi = np.where(open_ & ~below, mid, hi)
+            below = below | (shared >= length[open_])
+        lo[open_[below]] = mid[below] + 1
+        hi[open_[~below]] = mid[~below]
     return lo
 
 
@@ -157,37 +171,33 @@ def search_shard(docs: list[list[bytes]], block: Block, longest: bool = False, b
     place = np.insert(kept, gap, -1)  # where each word of the shortened text stands; -1 between runs
     seq = np.where(place >= 0, flat[place], 1).astype(np.int64)
     order = suffix_array(seq, block.longest)
-    opens = np.flatnonzero(block.opens)
-    want, need = block.suffix[opens], block.need[opens]
-    width = int(need.max())
-    lo = search(seq, order, want[:, :width], need, upper=False)
-    hi = search(seq, order, want[:, :width], need, upper=True)
-    counts = hi - lo
-    found = np.flatnonzero(counts)
+    need, seek = block.need, []
+    for upper in (False, True):  # so many windows at once that their words are bounded
+        parts = [slice(k, k + SEARCHED) for k in range(0, len(need), SEARCHED)]
+        seek.append(np.concatenate([search(seq, order, block.flat, block.place[p], need[p], upper) for p in parts]))
+    lo, hi = seek
+    found = np.flatnonzero(hi > lo)
     marks, items = np.zeros(len(flat), bool), [set() for _ in docs]
     matches: list[tuple[int, str, int, int, int]] = []
     for f in found:  # one window of one item; the range may hold many documents
         at = place[order[lo[f] : hi[f]]]
         for k in range(need[f]):
             marks[at + k] = True
-        item = block.ids[block.item[opens[f]]]
+        item = block.ids[block.item[f]]
         for d in np.unique(np.searchsorted(offsets, at, side="right") - 1):
             items[d].add(item)
-    if longest and len(found):
-        full = block.suffix[opens[found]]
-        length = (full >= 0).sum(1)
-        for f, row, n in zip(found, full, length, strict=True):
-            for k in range(lo[f], hi[f], FOLLOWED):
-                at = order[k : min(k + FOLLOWED, hi[f])]
-                shared, _ = _compare(seq, at, np.broadcast_to(row[:n], (len(at), n)), np.full(len(at), n))
-                where = place[at]
-                own = np.searchsorted(offsets, where, side="right") - 1
-                if best:
-                    first = np.lexsort((where, -shared, own))
-                    first = first[np.insert(np.diff(own[first]) > 0, 0, True)]
-                    where, shared, own = where[first], shared[first], own[first]
-                for p, s, d in zip(where, shared, own, strict=True):
-                    matches.append((int(d), block.ids[block.item[opens[f]]], int(p - offsets[d]), int(block.at[opens[f]]), int(s)))
+    for f in found if longest else ():
+        item, item_at = block.ids[block.item[f]], int(block.at[f])
+        for k in range(lo[f], hi[f], FOLLOWED):
+            at = order[k : min(k + FOLLOWED, hi[f])]
+            shared = _followed(seq, at, block.flat, block.place[f], block.left[f])
+            where = place[at]
+            own = np.searchsorted(offsets, where, side="right") - 1
+            if best:
+                first = np.lexsort((where, -shared, own))
+                first = first[np.insert(np.diff(own[first]) > 0, 0, True)]
+                where, shared, own = where[first], shared[first], own[first]
+            matches += zip(own.tolist(), [item] * len(own), (where - offsets[own]).tolist(), [item_at] * len(own), shared.tolist(), strict=True)
     hits = [np.flatnonzero(marks[o : o + len(d)]) for o, d in zip(offsets, docs, strict=True)]
     return hits, items, matches
 
@@ -215,6 +225,14 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_
     return out
 
 
+def _each(shared: list) -> Iterator[Block]:
+    """The blocks one after another; of several a worker holds one at a time."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1 and hasattr(b, "_value"):
+            del b._value
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its words, those inside a benchmark window, the items, whether it is contaminated, and its
     longest verbatim match: words, item, the word where it begins in the document and in the item (the first by these
@@ -224,15 +242,15 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     shared = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, all_docs = batch.column("doc_id"), [words(t) for t in batch.column("text").to_pylist()]
             n_hit, names, longest = [], [], []
             for lo, hi in _shards(all_docs):
                 docs_ = all_docs[lo:hi]
                 hits, items = [np.zeros(0, np.int64)] * len(docs_), [set() for _ in docs_]
                 top: list[tuple] = [(0, None, None, None)] * len(docs_)
-                for b in shared:
-                    found, own, matches = search_shard(docs_, b.value, longest=True, best=True)
+                for block in _each(shared):
+                    found, own, matches = search_shard(docs_, block, longest=True, best=True)
                     for d, i, p, q, n in matches:
                         top[d] = min(top[d], (-n, i, p, q))
                     hits = [np.union1d(x, y) if len(x) else y for x, y in zip(hits, found, strict=True)]
@@ -259,11 +277,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     shared = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, all_docs = batch.column("doc_id").to_pylist(), [words(t) for t in batch.column("text").to_pylist()]
             for lo, hi in _shards(all_docs):
-                for b in shared:
-                    rows = [(ids[lo + d], i, p, q, n) for d, i, p, q, n in search_shard(all_docs[lo:hi], b.value, longest=True)[2]]
+                for block in _each(shared):
+                    rows = [(ids[lo + d], i, p, q, n) for d, i, p, q, n in search_shard(all_docs[lo:hi], block, longest=True)[2]]
                     for k in range(0, len(rows), 50_000):
                         cols = list(zip(*rows[k : k + 50_000], strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "word_at", "item_word_at", "n_words"])
@@ -278,13 +296,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     shared = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             all_docs = [words(t) for t in batch.column("text").to_pylist()]
             keep = []
             for lo, hi in _shards(all_docs):
                 hit = np.zeros(hi - lo, bool)
-                for b in shared:
-                    hit |= [len(h) > 0 for h in search_shard(all_docs[lo:hi], b.value)[0]]
+                for block in _each(shared):
+                    hit |= [len(h) > 0 for h in search_shard(all_docs[lo:hi], block)[0]]
                 keep += (~hit).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
