@@ -28,13 +28,14 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textward.llm.common import bound_batches, texts
+from textward.llm.common import bound_batches, materialise, texts, trim
 from textward.llm.hashing import WordHash, shingles
 
-#: Labelled rows that the fit may take, of each label.
-FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
+#: Labelled rows that the fit may take, of each label, and bytes of their texts.
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 3_000, 6_000, 128 << 20
 #: A row is rejected from this score on.
 THRESHOLD = 0.7
 #: A term needs this many toxic rows (or share of them), and this ratio of rates.
@@ -297,17 +298,24 @@ def fit_texts(toxic: list[str], clean: list[str], rate: float) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, fit_bytes: int = FIT_BYTES) -> Model:
     """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 3 isn't 1.
 
-    Only ids are sorted to choose the sample; the texts of at most ``fit_toxic + fit_clean`` rows reach the driver.
+    Only ids are sorted to choose the sample; the texts of at most ``fit_toxic + fit_clean`` rows, and ``fit_bytes`` of
+    them in that order, reach the driver.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"] > 0: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     sample = rows.where("toxic > 0").orderBy(order, "doc_id").limit(fit_toxic).unionByName(rows.where("toxic <= 0").orderBy(order, "doc_id").limit(fit_clean))
-    got = texts(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text").collect()
+    found = texts(docs).join(F.broadcast(sample), "doc_id").withColumn("order", order)
+    # repeated rows of a doc_id could be many: one of each counts
+    held = materialise(found.groupBy("doc_id", "order", "toxic").agg(F.min("text").alias("text")), "labelled")
+    before = W.orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    sizes = held.select("doc_id", "order", F.octet_length("text").cast("long").alias("size")).coalesce(1)
+    ids = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= fit_bytes).select("doc_id")
+    got = held.join(F.broadcast(ids), "doc_id", "left_semi").select("toxic", "text").collect()
     total = sum(counts.values())
     return fit_texts([r["text"] for r in got if r["toxic"] > 0], [r["text"] for r in got if r["toxic"] <= 0], counts.get(True, 0) / total if total else 0.0)
 
@@ -323,6 +331,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             rows = [own.score(t) for t in batch.column("text").to_pylist()]
             cols = [pa.array([r[0] for r in rows], pa.float64()), pa.array([int(r[0] >= threshold) for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "score", "predicted", "n_terms", "n_quoted"])
+        del own
+        trim()
 
     return texts(docs).mapInArrow(run, SCORES)
 
@@ -336,5 +346,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         own = shared.value.fresh()
         for batch in batches:
             yield batch.filter(pa.array([own.score(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+        del own
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
