@@ -9,6 +9,8 @@ Commits are idempotent: a batch is written to a name of its own and then renamed
 exists the batch was committed before, and the new copy is dropped. A driver that dies before the rename leaves
 nothing that readers see.
 
+Batch ids are any text; folders are named by their percent-encoded form.
+
 Defined cases: null source, language or version is the group ``''``; null token counts are 0; groups whose
 documents and tokens all return to 0 drop out of the totals; an empty batch is committed and changes nothing;
 repeated rows in one batch each count; other columns are dropped.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm.common import bound_batches, materialise, shared_dir, texts
+from textward.llm.common import bound_batches, discard, materialise, shared_dir, texts, trimmed
 from textward.llm.decontaminate import words
 
 KEYS = ("source", "lang", "tokenizer")
@@ -63,7 +66,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get(vocabulary) or _COUNTERS.setdefault(vocabulary, Counter(vocabulary))
-        for batch in batches:
+        for batch in trimmed(batches):
             body = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -99,27 +102,31 @@ class Rollup:
         self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(root)
 
+    @staticmethod
+    def _named(batch: str) -> str:
+        return urllib.parse.quote(batch, safe="").replace(".", "%2E")
+
     def _at(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
     def committed(self) -> set[str]:
         """Ids of the batches in the totals."""
-        return {n[6:] for f in self._fs.listStatus(self._at("")) if (n := f.getPath().getName()).startswith("batch=")}
+        return {urllib.parse.unquote(n[6:]) for f in self._fs.listStatus(self._at("")) if (n := f.getPath().getName()).startswith("batch=")}
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Add a batch of signed rows; False, and nothing changes, if it was committed before."""
         if batch in self.committed():
             return False
-        draft = f".draft-{uuid.uuid4().hex}"
+        draft, name = f".draft-{uuid.uuid4().hex}", f"batch={self._named(batch)}"
         summed(signed).write.parquet(f"{self.path}/{draft}")
-        if self._fs.exists(self._at(f"batch={batch}")) or not self._fs.rename(self._at(draft), self._at(f"batch={batch}")):
+        if self._fs.exists(self._at(name)) or not self._fs.rename(self._at(draft), self._at(name)):
             self._fs.delete(self._at(draft), True)
             return False
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer and the additive totals of the committed batches."""
-        parts = [f"{self.path}/batch={b}" for b in sorted(self.committed())]
+        parts = [f"{self.path}/batch={self._named(b)}" for b in sorted(self.committed())]
         log = self.spark.read.schema(LOG).parquet(*parts) if parts else self.spark.createDataFrame([], LOG)
         return summed(log).where(" OR ".join(f"{c} <> 0" for c in SUMS))
 
@@ -127,22 +134,26 @@ class Rollup:
 def corpus_history(docs: DataFrame, path: str | None = None) -> Rollup:
     """The rollup of a corpus through its history, every batch sent twice as a retrying sender would:
 
-    ``load`` inserts every document under both tokenizer versions; ``copies`` deletes every later copy (by doc_id) of
-    an equal text; ``recount`` revises the word counts of what is left from white-space words to words of letters
-    and digits.
+    ``load`` inserts every document under both tokenizer versions; ``copies`` deletes every later copy (by doc_id, a
+    null last) of an equal text, repeated rows among them; ``recount`` revises the word counts of what is left from
+    white-space words to words of letters and digits.
+
+    The deletes are summed as all rows less the first of each text. The firsts come from one aggregate that combines
+    before its shuffle, so a hot group of copies is one row a task and nothing is joined back to it.
     """
     counted = materialise(count_tokens(docs), "counts")
-    # the first of equal texts, by a partial aggregate: a hot group of copies is one row a task
-    first = counted.groupBy("text_mark").agg(F.min("doc_id").alias("first"))
-    marked = materialise(counted.join(first, "text_mark").withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first"))), "marked")
-    copies, left = marked.where("copy"), marked.where("NOT copy")
+    order = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order")
+    least = F.min(F.struct(order, "source", "lang", "n_chars", "n_tokens", "n_words", "n_terms"))
+    first = materialise(counted.groupBy("text_mark").agg(least.alias("f")).select("f.*"), "firsts")
     log = Rollup(docs.sparkSession, path)
+    both = lambda rows, sign: image(rows, sign, VERSION).unionByName(image(rows, sign, WORDS_VERSION, "n_words"))
     batches = {
-        "load": image(counted, 1, VERSION).unionByName(image(counted, 1, WORDS_VERSION, "n_words")),
-        "copies": image(copies, -1, VERSION).unionByName(image(copies, -1, WORDS_VERSION, "n_words")),
-        "recount": image(left, -1, WORDS_VERSION, "n_words").unionByName(image(left, 1, WORDS_VERSION, "n_terms")),
+        "load": both(counted, 1),
+        "copies": both(counted, -1).unionByName(both(first, 1)),
+        "recount": image(first, -1, WORDS_VERSION, "n_words").unionByName(image(first, 1, WORDS_VERSION, "n_terms")),
     }
     for name, signed in batches.items():
         log.commit(name, signed)
         log.commit(name, signed)
+    discard(counted, first)
     return log
