@@ -15,7 +15,7 @@ The winners (one short row per host) are broadcast only if their count is at mos
 are joined on (host, salt) with the hot hosts' pages spread over ``SALTS`` salts.
 
 Defined cases: a null or empty page, and one of furniture alone, gives an empty text; a null url is a host of its
-own (``''``); white space inside a block becomes one space, ``br`` included; blocks join by one line feed in page
+own (``''``); white space (Unicode's, decoded references too) inside a block becomes one space, ``br`` included; blocks join by one line feed in page
 order; unclosed and misnested tags end where HTML ends them; rows with one page_id are extracted row by row.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import bound_batches, materialise
+from textward.llm.common import bound_batches, materialise, trimmed
 
 #: Hosts whose winning paths may be broadcast (about 200 bytes each); spread of a host's pages beyond that.
 HOSTS_BROADCAST, SALTS = 100_000, 64
@@ -52,42 +52,62 @@ WORDS = frozenset(
     "footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing "
     "comment comments disqus respond reply replies related recommended pagination pager widget toolbar skip".split()
 )
+#: Words that with those make a name of furniture inside an article too, where one of those alone doesn't: a
+#: ``share-buttons`` is one there, a ``share-price`` isn't.
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons center column container content count form global head heading icon icons inner inline item items label left "
+    "link links list main meta middle module outer page panel post posts primary right row secondary section site slot small space stories story tag tags text thread title top "
+    "unit wrap wrapper articles article user reader readers author date time google dfp native".split()
+)
 #: A class of these words around the whole article says nothing against it.
 MAIN = frozenset("article main content body post entry story text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Attributes up to the end of a tag: quotes count behind an equals sign only; one that is never closed ends with the tag.
+_ATTRIBUTES = r"(?>[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+"
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>", re.S)
+#: The begin of a tag or declaration that has no end.
+UNENDED = re.compile(r"<(?=[a-zA-Z/!?])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 LETTER = re.compile(r"[^\W_]")
-GAP = re.compile(r"[ \t\n\r\f\v\xa0]+")
+GAP = re.compile(r"\s+")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Element:
-    __slots__ = ("chars", "furniture", "key", "linked", "marks", "parent", "paras", "path", "tag")
+    __slots__ = ("article", "chars", "furniture", "key", "linked", "marks", "parent", "paras", "path", "tag")
 
     def __init__(self, tag: str, key: str, parent: Element | None, furniture: bool):
         self.tag, self.key, self.parent = tag, key, parent
         self.furniture = furniture or (parent is not None and parent.furniture)
+        self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.path = f"{parent.path}>{key}" if parent is not None else key
         self.chars = self.linked = self.paras = self.marks = 0
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised tag-class name, and whether it is furniture."""
-    classes, words, furniture = "", [], tag in FURNITURE
+def _words(name: str) -> list[str]:
+    return [re.sub(r"\d+$", "", w.lower()) for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name) if w]
+
+
+def _describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """The generalised tag-class name, and whether it is furniture. ``inside`` an article a class must be furniture by all its words."""
+    classes, names, furniture = "", [], tag in FURNITURE
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "0", c.lower()) for c in value.split()}))
             if name in ("class", "id"):
-                words += [w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value) if w]
+                names += [w for x in value.split() if (w := _words(x))]
             elif name == "role":
                 furniture |= value.lower() in ROLES
             elif name == "hidden" or value == "true":
                 furniture = True
-    if words and tag not in ("html", "body", "article", "main") and any(re.sub(r"\d+$", "", w) in WORDS for w in words) and not (tag in ("div", "section") and set(words) & MAIN and not set(words) & {"comment", "comments", "ad", "ads", "related"}):
-        furniture = True
+    if names and tag not in ("html", "body", "article", "main"):
+        words = {w for x in names for w in x}
+        if inside:
+            furniture |= any(WORDS.intersection(x) and (WORDS | PARTS).issuperset(w for w in x if w) for x in names)
+        elif words & WORDS and not (tag in ("div", "section") and words & MAIN and not words & {"comment", "comments", "ad", "ads", "related"}):
+            furniture = True
     return (f"{tag}.{classes}" if classes else tag), furniture
 
 
@@ -162,7 +182,7 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
                     found = found.parent
                 if found.tag in CLOSES[one]:
                     close(found.parent)
-        key, furniture = _describe(tag, m[3])
+        key, furniture = _describe(tag, m[3], top.article)
         if not (m[3].endswith("/") and tag not in BLOCK):
             top = Element(tag, key, top, furniture)
             in_link += tag == "a"
@@ -170,8 +190,9 @@ def parse(page: str | None) -> list[tuple[Element, str, int]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 top = top.parent
-    if at < len(page) and not page[at:].lstrip().startswith("<"):
-        put(page[at:])
+    tail = UNENDED.search(page, at)
+    if at < (end := tail.start() if tail else len(page)):
+        put(page[at:end])
     flush()
     return blocks
 
@@ -258,7 +279,7 @@ def votes(pages: DataFrame) -> DataFrame:
     bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             rows = [(h, p, s) for h, t in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) for p, s, _ in (best(parse(t)),) if p]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["host", "path", "score"])
@@ -287,10 +308,8 @@ def extract_pages(pages: DataFrame, hosts_broadcast: int = HOSTS_BROADCAST) -> D
         joined = salted.join(spread, ["host", "_salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             out = [extract(parse(t), p) for t, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, TEXTS)
-
-
