@@ -236,7 +236,7 @@ def _each(shared: list) -> Iterator[Block]:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its words, those inside a benchmark window, the items, whether it is contaminated, and its
     longest verbatim match: words, item, the word where it begins in the document and in the item (the first by these
-    of equally long ones; 0 and nulls without a hit)."""
+    of equally long ones; 0, null, -1 and -1 without a hit)."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = blocks(benchmark, window, block_bytes)
@@ -248,7 +248,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
             for lo, hi in _shards(all_docs):
                 docs_ = all_docs[lo:hi]
                 hits, items = [np.zeros(0, np.int64)] * len(docs_), [set() for _ in docs_]
-                top: list[tuple] = [(0, None, None, None)] * len(docs_)
+                top: list[tuple] = [(0, None, -1, -1)] * len(docs_)
                 for block in _each(shared):
                     found, own, matches = search_shard(docs_, block, longest=True, best=True)
                     for d, i, p, q, n in matches:

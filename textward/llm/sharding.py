@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textward.llm.common import fresh
+
 #: Slots are numbered in this many parts of each shard, so that no task holds a shard.
 SLOT_PARTS = 512
 
@@ -78,15 +80,17 @@ def assign(rows: DataFrame, tree: Node, key: str = "doc_id", shard: str = "shard
 def number(rows: DataFrame, by: str = "shard", order: tuple[str, ...] = ("doc_id",), parts: int = SLOT_PARTS) -> DataFrame:
     """Add ``slot``: 0, 1, 2 ... within each ``by``.
 
-    A shard is cut into ``parts`` by a hash of ``order``; the parts' sizes (at most shards x parts rows, a bound
-    that doesn't grow with the data) give each part's first slot, and only a part is sorted in one task.
+    A shard is cut into ``parts`` by an MD5 of ``order``, and slots follow part and ``order``; the parts' sizes (at most shards x parts rows, a bound
+    that doesn't grow with the data) give each part's first slot, and only a part is sorted in one task. Rows that are
+    equal in all of ``order`` are numbered in one task.
     """
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    first = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n")).select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = W.partitionBy(by, "_part").orderBy(*order)
-    placed = dealt.withColumn("_at", F.row_number().over(within).cast("long"))
-    return placed.join(F.broadcast(first), [by, "_part"]).withColumn("slot", F.col("_first") + F.col("_at") - 1).drop("_part", "_first", "_at")
+    part, first, at, n = (fresh(x, [*rows.columns, "slot"]) for x in ("part", "first", "at", "n"))
+    digits = F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order)).cast("binary")), 1, 4)
+    dealt = rows.withColumn(part, F.pmod(F.conv(digits, 16, 10).cast("int"), F.lit(parts)))
+    before = W.partitionBy(by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    firsts = dealt.groupBy(by, part).agg(F.count("*").alias(n)).select(by, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    placed = dealt.withColumn(at, F.row_number().over(W.partitionBy(by, part).orderBy(*order)).cast("long"))
+    return placed.join(F.broadcast(firsts), [by, part]).withColumn("slot", F.col(first) + F.col(at) - 1).drop(part, first, at)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
