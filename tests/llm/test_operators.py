@@ -10,12 +10,14 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from textward.llm.common import join_keys, materialise
 from textward.llm import decontaminate, graph, html, linedup, near, pieces, quality, rollup, secrets, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size int, key string, uid string"
+#: Columns of documents, and further ones whose names the operators use too.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size int, key string, uid string, _uid string, _text string, _doc string, doc string, runs string, n_lines string, n_removed int, id string, slot string, part string, _part int, row int, mark int"
 
 
 def low(t):
@@ -36,8 +38,8 @@ def rows(docs):
 def odd(spark):
     """Nulls in any column, empty and very long texts, repeated rows and ids, clashing names."""
     long_ = " ".join(f"w{k % 977} x{k}" for k in range(60_000))
-    more = ("en", "s", 1, "a", 1, "k", "u")
-    return spark.createDataFrame([(1, None, *more), (2, "", *more), (None, "one two", *more), (3, long_, *more), (4, "same text here now ok", *more), (4, "same text here now ok", *more), (5, " \n\t ", *[None] * 7)], DOCS)
+    more = ("en", "s", 1, "a", 1, "k", "u", "x", "x", "x", "x", "x", "x", 1, "x", "x", "x", 1, 1, 1)
+    return spark.createDataFrame([(1, None, *more), (2, "", *more), (None, "one two", *more), (3, long_, *more), (4, "same text here now ok", *more), (4, "same text here now ok", *more), (5, " \n\t ", *[None] * 20)], DOCS)
 
 
 def table(df, key="doc_id"):
@@ -56,6 +58,16 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, odd):
         assert make(none).count() == 0
         assert make(odd).count() in (6, 7)
     assert near.deduplicate(odd).count() == 6
+    import corpus_pipeline
+
+    for rows_, left in ((none, 0), (odd, 6)):
+        now = rows_
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, SF)
+            if name != "sentencepiece":
+                assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+            now = materialise(out)
+        assert now.count() == left
     assert rollup.corpus_history(none).totals().count() == 0
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0
     got = {r["doc_id"]: r for r in decontaminate.report(odd, bench).collect()}
@@ -80,6 +92,40 @@ def test_sharding(spark, docs, rows):
     assert pairs and all(r["b"] < 8 <= r["a"] for r in pairs)
 
 
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_decontamination", "op5_near_dedup", "op9_quality_rules"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from textward.llm import oracles, queries
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), db.sql(oracles.SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    rows = lambda x: sorted(map(str, x))
+    assert rows(map(tuple, got.select(cols).collect())) == rows(want.select(*cols).fetchall())
+
+
+def test_toxicity_on_held_out_labels(spark, docs):
+    import zlib
+
+    from textward.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r["held_out"], r["score"], r["predicted"], labels[r["doc_id"]], r["doc_id"]) for r in queries.op4_toxicity(spark, sf).collect() if r["doc_id"] in labels]
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= s <= 1 and p == (s >= 0.7) for h, s, p, _, i in rows)
+    held = [(s, p, y) for h, s, p, y, _ in rows if h]
+    bad, good = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
+    hit = sum(p for _, p, y in held if y)
+    assert auc > 0.9 and hit > 0.7 * len(bad) and hit > 0.85 * sum(p for _, p, _ in held)
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), fit_bytes=2000)
+    assert 0 <= model.score("x")[0] <= 1
+
+
 def test_html():
     page = (
         '<html><head><title>t</title><style>p{}</style></head><body><div id="top" class="site-header"><h2>head</h2></div><nav><a href="/">menu</a></nav><div class="post-12"><h1>Title &amp; more</h1>'
@@ -112,6 +158,32 @@ def test_html_scripts_with_unpaired_quotes():
         assert path.endswith("article") and html.extract(html.parse(page), path) == "One.\nIt's \"here\".\nAnd it isn't."
 
 
+def test_html_odd_markup():
+    ex = lambda p: html.extract(html.parse(p), None)
+    assert ex("<p>a</p> <3 lots of love") == "a\n<3 lots of love" and ex("<p>a < b and c <d") == "a < b and c"
+    assert ex("<p data-x=it's>hello there, one.</p><p>x</p>") == "hello there, one.\nx" and ex('<p title="abc>text</p><p>y') == "text\ny"
+    assert ex("<p>a\u2003b&emsp;c\u3000d&nbsp;e</p>") == "a b c d e" and ex('<p title="a > b" x=\'>\'>t</p>') == "t"
+    inside = '<article><p>One, two.</p><div class="share-price">12 dollars</div><div class="related-work">Related</div>{}</article>'
+    gone = '<div class="share-buttons">S</div><div class="comments">C</div><div id="ad-slot-3">ad</div><div class="related-posts">R</div><div class="post-comments">PC</div>'
+    assert ex(inside.format(gone)) == "One, two.\n12 dollars\nRelated"
+    import time
+
+    began = time.time()
+    for q in "\"'":
+        for page in (f"<p a={q}x>" * 8000, "<a " * 8000, f"<a b={q}" * 8001 + ">", "<p a=\"x'>" * 8000, "<" * 20_000 + "x"):
+            html.parse(page)
+    assert time.time() - began < 10
+
+
+def test_html_takes_odd_tables(spark):
+    kind = "page_id long, url string, html string, host string, path string, text string"
+    rows = [(1, "http://h/a", "<p>x, y.</p>", "q", "q", "q"), (1, "http://h/a", "<p>x, y.</p>", "q", "q", "q"), (None, None, None, None, None, None), (2, "", "", "", "", ""), (3, "http://h/b", "<p>" + "word, " * 200_000, *[None] * 3)]
+    df = spark.createDataFrame(rows, kind)
+    assert html.extract_pages(df.limit(0)).count() == 0
+    got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html.extract_pages(df).collect())
+    assert got == [(0, 0), (1, 5), (1, 5), (2, 0), (3, 1_199_999)]
+
+
 def test_html_consensus(spark):
     good = '<body><div class="main"><p>A long sentence, with words. And one more, here.</p></div><div class="box"><p>{}</p></div></body>'
     rows = [(k, "http://h.example/a", good.format("x")) for k in range(6)] + [(9, "http://h.example/b", good.format("much longer text, here. " * 9)), (10, None, "<p>alone</p>"), (11, "x", None)]
@@ -163,7 +235,7 @@ def test_decontamination_longest_match(spark):
     for block_bytes in (1 << 20, 60):
         got = table(decontaminate.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=6, block_bytes=block_bytes))
         for k, t in enumerate(texts):
-            w, best = t.split()[:100], (0, None, None, None)
+            w, best = t.split()[:100], (0, None, -1, -1)
             for i, s in items:
                 s = s.split()
                 for q in range(len(s) - min(6, len(s)) + 1):
@@ -175,6 +247,23 @@ def test_decontamination_longest_match(spark):
             assert (-x["longest_words"], x["longest_item"], x["longest_at"], x["longest_item_at"]) == best and x["contaminated"] == (best[0] < 0)
 
 
+def test_decontamination_of_a_long_item(spark):
+    import random
+    import tracemalloc
+
+    r = random.Random(2)
+    item = [f"w{r.randrange(50_000)}" for _ in range(20_000)]
+    tracemalloc.start()
+    block = decontaminate.Block([("long", " ".join(item)), ("short", "one two")])
+    hits, items, matches = decontaminate.search_shard([[w.encode() for w in item[500:19_000]], [b"one", b"two"]], block, longest=True, best=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(h) for h in hits] == [18_500, 2] and items == [{"long"}, {"short"}]
+    assert min((-n, i, p, q) for _, i, p, q, n in matches) == (-18_500, "long", 0, 500) and peak < 200 << 20
+    twice = decontaminate.search_shard([[b"one", b"two", b"six"]], decontaminate.Block([("x", "one two"), ("x", "six")]))
+    assert [len(h) for h in twice[0]] == [3] and twice[1] == [{"x"}]
+
+
 def test_decontamination_blocks(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one, many = table(decontaminate.report(docs, bench)), table(decontaminate.report(docs, bench, block_bytes=1500))
@@ -303,10 +392,28 @@ def test_distance_follows_the_threshold():
             assert (a == b).any() and (d == 0 or near._forest(pair, d) == [(0, 1)])
 
 
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c), (5, "z " + c), (4, ""), (None, a), (None, a)]
+    left = sorted(near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert left == sorted([(1, a), (1, b), (4, c), (4, ""), (None, a), (None, a)], key=str)
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 100, k) for k in range(3000)], "k long, v long")
+    per_key = materialise(rows.groupBy("k").agg(F.max("v").alias("m"), F.count("*").alias("n")))
+    got = sorted(map(tuple, join_keys(rows, per_key, ["k"]).select("k", "v", "m").collect()))
+    assert got == sorted(map(tuple, rows.join(per_key, "k").select("k", "v", "m").collect())) and len(got) == 3000
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90}
+    for hub in (0, 5000, 2500):  # a hub of nearly all edges, whatever its place in the order
+        edges = [(hub, k) for k in range(1, 3000)] + [(9000, 9001), (9001, 9002)]
+        got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: min(hub, 1) for k in {*range(1, 3000), hub}} | {9000: 9000, 9001: 9000, 9002: 9000}
 
 
 def brute_lines(rows, least):
@@ -420,18 +527,80 @@ def test_sentencepiece_is_the_librarys(spark, rows):
     texts = [t for _, t in rows]
     for s in range(800):
         r = random.Random(s)
-        texts.append("".join(r.choice(["a", "th", " ", "  ", "\n", "\t", "é", "漢", "​", "ing", "The", "1", "!", "▁", "😀", "eee", " " * 17]) for _ in range(r.randint(0, 30))))
+        texts.append("".join(r.choice(["a", "th", " ", "  ", "\n", "\t", "é", "漢", "​", "ing", "The", "1", "!", "▁", "😀", "eee", " " * 17, "\0", "w" * 120]) for _ in range(r.randint(0, 30))))
     texts += [" " * n + tail for n in (1, 14, 15, 16, 17, 31, 65, 200, 1000) for tail in ("", "x", "漢")]
     for t in texts:
         ids = m.encode(t)
         assert ids == lib.encode(t), t
         assert "▁" in t or m.decode(ids) == t
+    import pyarrow as pa
+
+    coder = pieces._Batch(m)
+    for k in range(0, len(texts), 150):
+        part = texts[k : k + 150]
+        data, at = coder.normalised(pa.array(part, pa.string()))
+        ids, count = coder.encode(data, at)
+        ends = count.cumsum()
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, count, strict=True)] == lib.encode(part)
+        assert coder.same(data, at, ids, count).all()
+        wrong = ids.copy()
+        wrong[::7] += 1
+        assert not coder.same(data, at, wrong, count).all()
     some = spark.createDataFrame(rows[:50], "doc_id long, text string")
     coded = pieces.encode_documents(some)
     assert coded.where("NOT round_trip").count() == 0
     assert {r["doc_id"]: r["text"] for r in pieces.decode_documents(coded).collect()} == dict(rows[:50])
 
 
+def test_neighbours_against_merging():
+    import random
+
+    import numpy as np
+
+    m, r = pieces.compiled(pieces.model_path()), random.Random(1)
+    ids = [i for i in m.known.tolist() if len(m.text[i]) < 9]
+    left, right = np.array(r.choices(ids, k=4000)), np.array(r.choices(ids, k=4000))
+    want = [m.merge(m.text[a] + m.text[b]) != (m.text[a], m.text[b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert m.apart(left, right).tolist() == want and 50 < sum(want) < 3950
+    same = np.array([i for i in ids if len(set(m.text[i])) == 1])
+    for a in same.tolist():
+        want = [m.merge(m.text[a] + m.text[b]) != (m.text[a], m.text[b]) for b in same.tolist()]
+        assert m.apart(np.full(len(same), a), same).tolist() == want
+
+
+def test_unigram_model_is_the_librarys(tmp_path):
+    import random
+    import struct
+
+    import sentencepiece
+
+    def field(n, value):
+        if isinstance(value, int):
+            return bytes([n << 3, value])
+        if isinstance(value, float):
+            return bytes([n << 3 | 5]) + struct.pack("<f", value)
+        return bytes([n << 3 | 2]) + varint(len(value)) + value
+
+    def varint(x):
+        return bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+
+    r = random.Random(7)
+    pieces_ = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    plain = sorted({"".join(r.choice("abc▁")[:1] for _ in range(r.randint(1, 4))) for _ in range(60)} | set("abc▁é"))
+    pieces_ += [(p, -r.random() * 9 - 0.1, 1) for p in plain if "▁" not in p[1:] or not p.strip("▁")]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, k)) for p, s, k in pieces_)
+    data += field(2, field(3, 1) + bytes([35 << 3 & 127 | 128, 35 >> 4, 1])) + field(3, field(1, b"identity") + field(2, b"") + field(3, 1) + field(4, 0) + field(5, 1))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(data)
+    lib, m = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Transducer(str(path))
+    assert m.kind == pieces.UNIGRAM
+    for _ in range(400):
+        t = "".join(r.choice(["a", "b", "c", " ", "é", "漢", "ab", "  "]) for _ in range(r.randint(1, 24)))
+        got, want = m.encode(t), lib.encode(t)
+        weigh = lambda ids: sum(m.score.get(m.text[i], 0.0) for i in ids)
+        assert m.decode(got) == lib.decode(want) == t and abs(weigh(got) - weigh(want)) < 1e-4  # of equal sums either may win
+
+
 def test_quality_against_brute_force(docs, rows):
     got = table(quality.report(docs))
     for i, t in rows:
@@ -462,7 +631,18 @@ def test_rollup(spark, docs, rows):
     assert rollup.Rollup(spark, log.path).totals().collect()[0]["n_docs"] == 1
     log.commit("c", rollup.image(one.limit(1), -1, "v"))
     assert log.totals().count() == 0 and log.committed() == {"a", "b", "none", "c"}
+    log.commit("../a/b", rollup.image(one, 1, "v"))
+    assert log.committed() >= {"../a/b"} and not log.commit("../a/b", rollup.image(one, 1, "v"))
     got = rollup.corpus_history(docs).totals().collect()
+    code, groups = rollup.Counter().code, collections.Counter()
+    for r in docs.orderBy(F.desc("doc_id")).collect():  # the first of equal texts, by doc_id, is left
+        first = {r["text"]: r} if not groups else first | {r["text"]: r}
+        groups["any"] = 1
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for t, r in first.items():
+        for version, n in (("byte_bpe_50k", len(code.encode_ordinary(t))), ("words", len(FOLDED.findall(low(t))))):
+            want[r["source"], r["lang"], version] = [x + y for x, y in zip(want[r["source"], r["lang"], version], (1, n, len(t)), strict=True)]
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"], r["n_chars"]] for r in got} == want
     first = {}
     for i, t in rows:
         first.setdefault(t, i)
