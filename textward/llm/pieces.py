@@ -47,7 +47,7 @@ OUTSIDE = 1 << 23
 #: Words from which length on take their paths alone.
 LONG = 100
 #: Words whose paths are searched together, and what stands between them: a character of no piece.
-TOGETHER, APART = 15_000, "\x00"
+TOGETHER, APART = 25_000, "\x00"
 #: Words whose ids, and ids whose characters, are gathered at once.
 GATHERED = 50_000
 #: What the library takes off the least score for a character outside the pieces of a unigram model.
