@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,10 @@ def one_line(text: Column) -> Column:
 
 def cut(text: Column, length: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(mark))).otherwise(text)
+
+
+def free(prefix: str, taken: Iterable[str]) -> str:
+    """A beginning like ``prefix`` that no name in ``taken`` has."""
+    while any(c.lower().startswith(prefix.lower()) for c in taken):
+        prefix += "_"
+    return prefix

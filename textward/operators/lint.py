@@ -16,10 +16,13 @@ FAMILIES = (
     ("OpenAI-style API key", r"sk-[A-Za-z0-9]{20,}"),
 )
 EXTENSIONS = (".js", ".mjs", ".cjs")
+SKIPPED = ("node_modules", ".git", ".npm-cache", "coverage", "dist", "build", "out")
 
 
 def lint(files: DataFrame, extensions: tuple[str, ...] | None = EXTENSIONS) -> DataFrame:
-    """rel, label, preview (24 characters, unprintable ones as ``?``)."""
+    """rel, label, preview (24 characters, unprintable ones as ``?``) of files by extension, but for those under a skipped folder."""
+    folders = F.slice(F.split("rel", r"[/\\\\]"), 1, F.size(F.split("rel", r"[/\\\\]")) - 1)
+    files = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED))))
     if extensions:
         files = files.where(F.col("ext").isin(*extensions))
     found = F.array(*(F.when(F.col("content").rlike(p), F.struct(F.lit(label).alias("label"), F.regexp_extract("content", p, 0).alias("m"))) for label, p in FAMILIES))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textward.functions.dialect import free
 from textward.functions.redaction import MAX_LENGTH, redact_column
 
 
@@ -18,8 +19,9 @@ def redact(df: DataFrame, column: str = "text", modes: Sequence[str] | None = No
     text = F.col(column).cast("string")
     if strict:
         text = F.when(text.isNull(), F.raise_error(F.lit("redact: text must be a string"))).otherwise(text)
-    out = df.withColumn("_r", redact_column(text, modes, mask_char, max_length))
-    return out.withColumns({c: F.col(f"_r.{c}") for c in ("redacted", "truncated", "findings")}).drop("_r")
+    own = free("_redact", df.columns)
+    out = df.withColumn(own, redact_column(text, modes, mask_char, max_length))
+    return out.withColumns({c: F.col(f"{own}.{c}") for c in ("redacted", "truncated", "findings")}).drop(own)
 
 
 def findings_by(df: DataFrame, *by: str, column: str = "text", modes: Sequence[str] | None = None) -> DataFrame:

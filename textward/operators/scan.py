@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textward.config import ScanOptions
-from textward.functions.dialect import bound, cut, java, one_line
+from textward.functions.dialect import bound, cut, free, java, one_line
 from textward.functions.redaction import redact_column
 from textward.functions.rules import MAX_MATCHES, RULE_IDS, RULES, VERSION, WEIGHTS, Rule
 
@@ -21,14 +21,9 @@ def insensitive(rule: Rule) -> str:
 
 
 def surroundings(text: Column, rule: Rule) -> Column:
-    """The first match with up to 30 characters on either side."""
-    if "\\b" in rule.pattern or "(?!" in rule.pattern:  # where a match depends on what stands around it
-        return F.regexp_extract(text, f"(?is)(.{{0,{AROUND}}}?(?:{java(rule.pattern)}).{{0,{AROUND}}})", 1)
-
-    def window(m: Column) -> Column:  # the first match is the first place of its own text
-        return bound(F.position(m, text), lambda p: F.substring(text, F.greatest(p - AROUND, F.lit(1)), p - F.greatest(p - AROUND, F.lit(1)) + F.length(m) + AROUND))
-
-    return bound(F.regexp_substr(text, F.lit(insensitive(rule))), window)
+    """The first match with up to 30 characters on either side; one search finds its place, one its length."""
+    pattern = F.lit(insensitive(rule))
+    return bound(F.regexp_instr(text, pattern), lambda p: F.substring(text, F.greatest(p - AROUND, F.lit(1)), p - F.greatest(p - AROUND, F.lit(1)) + F.length(F.regexp_substr(text, pattern)) + AROUND))
 
 
 def snippet(near: Column, mask_char: str = "*") -> Column:
@@ -36,68 +31,70 @@ def snippet(near: Column, mask_char: str = "*") -> Column:
     return bound(redact_column(one_line(near), mask_char=mask_char)["redacted"], lambda x: cut(x, SNIPPET))
 
 
-def _hit(text: Column, i: int) -> Column:
+def _hit(text: Column, i: int, own: str, snippets: bool) -> Column:
     r = RULES[i]
     names = {"rule_id": r.id, "category": r.category, "severity": r.severity, "action": r.action, "description": r.description}
-    return F.struct(*(F.lit(v).alias(k) for k, v in names.items()), F.col(f"_m{i}").alias("matches"), surroundings(text, r).alias("snippet"))
+    return F.struct(*(F.lit(v).alias(k) for k, v in names.items()), F.col(f"{own}m{i}").alias("matches"), (surroundings(text, r) if snippets else F.lit("")).alias("snippet"))
 
 
-def _listed(text: Column, which: Iterable[int], last: Column, mask_char: str) -> Column:
+def _listed(text: Column, which: Iterable[int], last: Column, mask_char: str, own: str, snippets: bool) -> Column:
     """The hits among ``which`` up to rule ``last``; the array is made only for rows that hit."""
     rules = list(which)
     if not rules:
         return F.array().cast(HIT)
     some = F.lit(False)
     for i in rules:
-        some = some | (F.col(f"_m{i}") > 0)
-    each = F.array(*(F.when((F.col(f"_m{i}") > 0) & (F.lit(i) <= last), _hit(text, i)) for i in rules))
-    masked = F.transform(F.filter(each, lambda h: h.isNotNull()), lambda h: h.withField("snippet", snippet(h["snippet"], mask_char)))
+        some = some | (F.col(f"{own}m{i}") > 0)
+    each = F.filter(F.array(*(F.when((F.col(f"{own}m{i}") > 0) & (F.lit(i) <= last), _hit(text, i, own, snippets)) for i in rules)), lambda h: h.isNotNull())
+    masked = F.transform(each, lambda h: h.withField("snippet", snippet(h["snippet"], mask_char))) if snippets else each
     return F.when(some, masked.cast(HIT)).otherwise(F.array().cast(HIT))
 
 
-def scan(df: DataFrame, column: str = "text", options: ScanOptions | None = None, mask_text: bool = True, budget_exceeded: str | None = None, strict: bool = False) -> DataFrame:
+def scan(df: DataFrame, column: str = "text", options: ScanOptions | None = None, mask_text: bool = True, budget_exceeded: str | None = None, strict: bool = False, snippets: bool = True) -> DataFrame:
     """``df`` with decision, confidence, reasons, allowlisted_hits, masked_text, truncated, warnings, scanned_length, ruleset.
 
     ``budget_exceeded`` names a boolean column that stands for a spent time budget: such rows fail open. A null text
-    gives nulls, or an error if ``strict``.
+    gives nulls, or an error if ``strict``. Without ``snippets`` those are empty, and only the counting searches run.
+    Other columns stay, whatever their names; of those above the result's own stand.
     """
     o = (options or ScanOptions()).normalised()
     text = F.col(column).cast("string")
     if strict:
         text = F.when(text.isNull(), F.raise_error(F.lit("scan: text must be a string"))).otherwise(text)
-    taken = df.withColumn("_full", text).withColumn("_t", F.substring("_full", 1, o.max_length))
-    taken = taken.withColumns({f"_m{i}": F.least(F.regexp_count("_t", F.lit(insensitive(r))), F.lit(MAX_MATCHES)).cast("long") for i, r in enumerate(RULES)})
+    own = free("_scan_", df.columns)
+    taken = df.withColumn(f"{own}full", text).withColumn(f"{own}t", F.substring(f"{own}full", 1, o.max_length))
+    taken = taken.withColumns({f"{own}m{i}": F.least(F.regexp_count(f"{own}t", F.lit(insensitive(r))), F.lit(MAX_MATCHES)).cast("long") for i, r in enumerate(RULES)})
     allowed = [i for i, r in enumerate(RULES) if r.id in o.allowlist]
     scored = [i for i in range(len(RULES)) if i not in allowed]
     # the rule loop stops at the first critical hit that isn't on the allowlist: later rules neither score nor show
     last = F.lit(len(RULES))
     for i in reversed([i for i in scored if RULES[i].severity == "critical"]):
-        last = F.when(F.col(f"_m{i}") > 0, F.lit(i)).otherwise(last)
-    taken = taken.withColumn("_last", last)
+        last = F.when(F.col(f"{own}m{i}") > 0, F.lit(i)).otherwise(last)
+    taken = taken.withColumn(f"{own}last", last)
     score = F.lit(0.0)
     for i in scored:
-        score = score + F.when((F.col(f"_m{i}") > 0) & (F.lit(i) <= F.col("_last")), F.lit(WEIGHTS[RULES[i].severity])).otherwise(F.lit(0.0))
+        score = score + F.when((F.col(f"{own}m{i}") > 0) & (F.lit(i) <= F.col(f"{own}last")), F.lit(WEIGHTS[RULES[i].severity])).otherwise(F.lit(0.0))
     spent = F.coalesce(F.col(budget_exceeded), F.lit(False)) if budget_exceeded else F.lit(False)
-    critical = F.col("_last") < len(RULES)
+    critical = F.col(f"{own}last") < len(RULES)
     confidence = F.when(critical, F.least(F.lit(1.0), F.greatest(score, F.lit(0.9)))).otherwise(F.least(F.lit(1.0), score))
-    taken = taken.withColumn("_c", confidence).withColumn("truncated", F.length("_full") > o.max_length).withColumn("_spent", spent)
-    present = F.col("_full").isNotNull()
-    c, t = F.col("_c"), F.col("_t")
+    taken = taken.withColumn(f"{own}c", confidence).withColumn("truncated", F.length(f"{own}full") > o.max_length).withColumn(f"{own}spent", spent)
+    present = F.col(f"{own}full").isNotNull()
+    c, t = F.col(f"{own}c"), F.col(f"{own}t")
     warn = [
         F.when(F.col("truncated"), F.lit(f"input truncated to {o.max_length} characters")),
-        F.when(F.col("_spent"), F.lit(f'scan budget exceeded ({o.timeout_ms}ms); remaining rules were skipped and the decision was downgraded to "allow"')),
+        F.when(F.col(f"{own}spent"), F.lit(f'scan budget exceeded ({o.timeout_ms}ms); remaining rules were skipped and the decision was downgraded to "allow"')),
     ]
     result = {
-        "decision": F.when(F.col("_spent"), "allow").when(c >= o.block_threshold, "block").when(c >= o.review_threshold, "review").otherwise("allow"),
-        "confidence": F.when(F.col("_spent"), F.lit(0.0)).otherwise(F.round(c, 3)),
-        "reasons": F.when(F.col("_spent"), F.array().cast(HIT)).otherwise(_listed(t, scored, F.col("_last"), o.mask_char)),
-        "allowlisted_hits": _listed(t, allowed, F.col("_last"), o.mask_char),
-        "masked_text": redact_column(F.col("_full"))["redacted"] if mask_text else F.lit(""),
+        "decision": F.when(F.col(f"{own}spent"), "allow").when(c >= o.block_threshold, "block").when(c >= o.review_threshold, "review").otherwise("allow"),
+        "confidence": F.when(F.col(f"{own}spent"), F.lit(0.0)).otherwise(F.round(c, 3)),
+        "reasons": F.when(F.col(f"{own}spent"), F.array().cast(HIT)).otherwise(_listed(t, scored, F.col(f"{own}last"), o.mask_char, own, snippets)),
+        "allowlisted_hits": _listed(t, allowed, F.col(f"{own}last"), o.mask_char, own, snippets),
+        "masked_text": redact_column(F.col(f"{own}full"))["redacted"] if mask_text else F.lit(""),
         "warnings": F.filter(F.array(*warn), lambda w: w.isNotNull()),
-        "scanned_length": F.length("_full").cast("long"),
+        "scanned_length": F.length(f"{own}full").cast("long"),
     }
     out = taken.withColumns({k: F.when(present, v) for k, v in result.items()}).withColumn("ruleset", F.lit(VERSION)).withColumn("classifier_used", F.lit(False))
-    return out.drop("_full", "_t", "_c", "_last", "_spent", *(f"_m{i}" for i in range(len(RULES))))
+    return out.drop(f"{own}full", f"{own}t", f"{own}c", f"{own}last", f"{own}spent", *(f"{own}m{i}" for i in range(len(RULES))))
 
 
 def ruleset(spark) -> DataFrame:

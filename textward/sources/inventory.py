@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import socket
 import stat
+import struct
 import tempfile
 from collections.abc import Mapping
 
@@ -132,11 +133,23 @@ def environment(spark: SparkSession, env: Mapping[str, str]) -> DataFrame:
 
 
 def active_interfaces() -> int:
-    """Addresses of this host that aren't loopback."""
+    """IPv4 addresses of this host's interfaces that aren't loopback: by the kernel's list of interfaces where it has one, else by the host's name."""
+    found = set()
     try:
-        return len({a[4][0] for a in socket.getaddrinfo(socket.gethostname(), None, socket.AF_INET) if not a[4][0].startswith("127.")})
-    except OSError:
-        return 0
+        import fcntl
+
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            for _, name in socket.if_nameindex():
+                try:  # SIOCGIFADDR
+                    found.add(socket.inet_ntoa(fcntl.ioctl(s.fileno(), 0x8915, struct.pack("256s", name.encode()[:15]))[20:24]))
+                except OSError:  # an interface without an address
+                    continue
+    except (ImportError, OSError):
+        try:
+            found = {a[4][0] for a in socket.getaddrinfo(socket.gethostname(), None, socket.AF_INET)}
+        except OSError:
+            return 0
+    return sum(not a.startswith("127.") for a in found)
 
 
 def in_temp(path: str) -> bool:
