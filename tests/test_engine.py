@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from textward.config import ScanOptions
 from textward.functions.dialect import java
 from textward.functions.redaction import mask_secret
+from textward.functions.rules import RULES
 from textward.operators import audit, classify, model
 from textward.operators.lint import lint
 from textward.operators.memo import lru_hits, memoised
 from textward.operators.memo import stats as memo_stats
 from textward.operators.redact import redact
-from textward.operators.scan import scan
+from textward.operators.scan import insensitive, matches, scan
 from textward.plans import queries, report
 from textward.sources import inventory
 
@@ -235,6 +236,15 @@ def test_every_rule_has_a_positive(spark):
     assert len(found) == 24 and min(found.values()) > 0, found
 
 
+def test_needed_words_drop_no_match(spark):
+    texts = [t for _, t, _, _ in CORPUS] + list(queries.PHRASES) + [t.upper() for t in queries.PHRASES] + ["", None, "İGNORE previous instructions", "Kill"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    t = F.col("text")
+    for rule in RULES:
+        plain = F.when(t.isNotNull(), F.least(F.regexp_count(t, F.lit(insensitive(rule))), F.lit(20)).cast("long"))
+        assert rows.where(~matches(t, F.lower(t), rule).eqNullSafe(plain)).count() == 0, rule.id
+
+
 def test_partitions_do_not_matter(spark):
     rows = queries.planted(spark, SF)
     one, many = scan(rows.coalesce(1)), scan(rows.repartition(8))

@@ -20,6 +20,45 @@ def insensitive(rule: Rule) -> str:
     return "(?i)" + java(rule.pattern)
 
 
+#: For each rule words of which every match holds one, in lower case: texts without them aren't searched. Letters of
+#: rules match without regard to ASCII case only, so the lower case of a match always holds the word.
+NEEDED = {
+    "instr-ignore-previous": ("ignore",),
+    "instr-disregard": ("disregard",),
+    "instr-forget": ("forget",),
+    "instr-start-fresh": ("conversation", "session", "chat"),
+    "role-you-are-now": ("now",),
+    "role-act-as": ("act", "behave"),
+    "role-ignore-guardrails": ("safety", "guardrail", "restriction", "constraint", "polic", "filter"),
+    "role-dan-mode": ("mode", "anything", "jail"),
+    "leak-system-prompt": ("prompt", "instruction"),
+    "leak-repeat-instructions": ("instruction",),
+    "exfil-send-external": ("exfiltrate", "steal", "send", "upload", "post", "transmit"),
+    "exfil-url": ("://",),
+    "tool-shell-commands": ("command",),
+    "tool-destructive": ("-rf", "delete", "wipe"),
+    "harm-explosive": ("bomb", "explosive", "incendiary"),
+    "harm-weapon": ("weapon", "firearm", "gun"),
+    "harm-malware": ("malware", "ransomware", "virus", "keylogger", "trojan"),
+    "cn-ignore-previous": ("忽略",),
+    "cn-ignore-everything": ("无视",),
+    "cn-you-are-now": ("你现在",),
+    "cn-leak-prompt": ("提示词", "系统提示", "指令"),
+    "cn-jailbreak": ("越狱", "解除限制", "破解限制"),
+    "cn-guardrail-bypass": ("绕过", "无视", "关闭"),
+    "cn-tool-abuse": ("命令",),
+}
+
+
+def matches(text: Column, low: Column, rule: Rule) -> Column:
+    """How often a rule matches, 20 at most. ``low``: the text in lower case."""
+    some = F.lit(False)
+    for word in NEEDED[rule.id]:
+        some = some | F.contains(low, F.lit(word))
+    count = F.least(F.regexp_count(text, F.lit(insensitive(rule))), F.lit(MAX_MATCHES)).cast("long")
+    return F.when(some, count).when(text.isNotNull(), F.lit(0).cast("long"))
+
+
 def surroundings(text: Column, rule: Rule) -> Column:
     """The first match with up to 30 characters on either side; one search finds its place, one its length."""
     pattern = F.lit(insensitive(rule))
@@ -63,7 +102,8 @@ def scan(df: DataFrame, column: str = "text", options: ScanOptions | None = None
         text = F.when(text.isNull(), F.raise_error(F.lit("scan: text must be a string"))).otherwise(text)
     own = free("_scan_", df.columns)
     taken = df.withColumn(f"{own}full", text).withColumn(f"{own}t", F.substring(f"{own}full", 1, o.max_length))
-    taken = taken.withColumns({f"{own}m{i}": F.least(F.regexp_count(f"{own}t", F.lit(insensitive(r))), F.lit(MAX_MATCHES)).cast("long") for i, r in enumerate(RULES)})
+    taken = taken.withColumn(f"{own}low", F.lower(f"{own}t"))
+    taken = taken.withColumns({f"{own}m{i}": matches(F.col(f"{own}t"), F.col(f"{own}low"), r) for i, r in enumerate(RULES)})
     allowed = [i for i, r in enumerate(RULES) if r.id in o.allowlist]
     scored = [i for i in range(len(RULES)) if i not in allowed]
     # the rule loop stops at the first critical hit that isn't on the allowlist: later rules neither score nor show
@@ -94,7 +134,7 @@ def scan(df: DataFrame, column: str = "text", options: ScanOptions | None = None
         "scanned_length": F.length(f"{own}full").cast("long"),
     }
     out = taken.withColumns({k: F.when(present, v) for k, v in result.items()}).withColumn("ruleset", F.lit(VERSION)).withColumn("classifier_used", F.lit(False))
-    return out.drop(f"{own}full", f"{own}t", f"{own}c", f"{own}last", f"{own}spent", *(f"{own}m{i}" for i in range(len(RULES))))
+    return out.drop(f"{own}full", f"{own}t", f"{own}low", f"{own}c", f"{own}last", f"{own}spent", *(f"{own}m{i}" for i in range(len(RULES))))
 
 
 def ruleset(spark) -> DataFrame:
@@ -104,8 +144,8 @@ def ruleset(spark) -> DataFrame:
 
 def hits_by_rule(df: DataFrame, column: str = "text") -> DataFrame:
     """rule_id, n_rows, n_matches over all rows, without early exit: one pass, partial aggregation, 24 rows out."""
-    counts = [F.least(F.regexp_count(F.col(column), F.lit(insensitive(r))), F.lit(MAX_MATCHES)).cast("long") for r in RULES]
-    wide = df.select(*(c.alias(f"m{i}") for i, c in enumerate(counts))).agg(*(F.count_if(F.col(f"m{i}") > 0).alias(f"r{i}") for i in range(len(RULES))), *(F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(RULES))))
+    rows = df.select(F.col(column).alias("t"), F.lower(column).alias("low"))
+    wide = rows.select(*(matches(F.col("t"), F.col("low"), r).alias(f"m{i}") for i, r in enumerate(RULES))).agg(*(F.count_if(F.col(f"m{i}") > 0).alias(f"r{i}") for i in range(len(RULES))), *(F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(RULES))))
     rows = F.array(*(F.struct(F.lit(RULE_IDS[i]).alias("rule_id"), F.col(f"r{i}").alias("n_rows"), F.col(f"s{i}").alias("n_matches")) for i in range(len(RULES))))
     return wide.select(F.inline(rows))
 
