@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch hands to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+#: Short rows of a scratch file, and the fewest files.
+FILE_ROWS, FILES = 250_000, 12
 #: A key with more than one in ``HOT`` of all rows is hot, so there are ``HOT`` hot keys at most; and fewer rows than that aren't.
 HOT, HOT_LEAST = 1_000, 100
 
@@ -37,10 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+def materialise(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and losing an executor
-    loses nothing. The files go by ``discard`` or when the driver's Python ends."""
+    loses nothing. The files go by ``discard`` or when the driver's Python ends. With ``rows``, about how many short
+    rows it has, it is written in no more files than these need."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(FILES + rows // FILE_ROWS)
     path = f"{shared_dir(spark)}/textward/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _OWN:
@@ -115,12 +120,13 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined with ``per_key``, a written table with one row a key and as ``n`` how many rows the key has; without ``n``.
+def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], counts: tuple[int, int] | None = None) -> DataFrame:
+    """``rows`` joined with ``per_key``, a written table with one row a key and as ``n`` how many rows the key has
+    (``counts``: their sum and the greatest, if at hand); without ``n``.
 
     Rows of hot keys, which are ``HOT`` at most, meet a broadcast and stay where they are; the others are shuffled.
     """
-    total, most = per_key.agg(F.sum("n"), F.max("n")).first()
+    total, most = counts or per_key.agg(F.sum("n"), F.max("n")).first()
     least = max(HOT_LEAST, (total or 0) // HOT)
     if (most or 0) <= least:
         return rows.join(per_key.drop("n"), keys)

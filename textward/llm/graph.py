@@ -12,32 +12,26 @@ from pyspark.sql import functions as F
 from textward.llm.common import discard, join_keys, materialise
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """A large star, then a small one. ``edges``: (a, b), a > b, each once; so is the result."""
-    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    # every larger neighbour of a node is tied to the least of its neighbourhood, itself included
-    around = edges.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
-    around = materialise(around, "around")
-    wide = materialise(join_keys(up, around, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-    # a node and its smaller neighbours are tied to the least of them
-    below = materialise(wide.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "below")
-    tied = join_keys(wide, below, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    out = materialise(tied.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    discard(around, wide, below)
-    return out
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id, root (the least id of its component) for every id of ``edges`` (a, b)."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    a, b, rows = F.col("a"), F.col("b"), now.count()
     for _ in range(rounds):
+        up = now.select(b.alias("a"), a.alias("b"))
+        # the least of each node's neighbourhood, itself included; how many neighbours are larger (n) and smaller
+        around = materialise(now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), a).alias("m"), F.count_if(b > a).alias("n"), F.count_if(b < a).alias("smaller")), "around", rows)
+        total, most, loose = around.agg(F.sum("n"), F.max("n"), F.count_if(F.expr("smaller > 1 OR (smaller > 0 AND n > 0)"))).first()
         # a forest of stars: every node below has one parent, and no parent hangs below another
-        ends = now.select(F.col("a").alias("id"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("above"), F.lit(1).alias("below")))
-        loose = ends.groupBy("id").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 OR (above > 0 AND below > 0)")
-        if loose.isEmpty():
+        if not loose:
+            discard(around)
             break
-        before, now = now, _round(now)
-        discard(before)
+        # large star: every larger neighbour of a node is tied to the least of its neighbourhood
+        wide = materialise(join_keys(up, around.drop("smaller"), ["a"], (total, most)).select(b.alias("a"), F.col("m").alias("b")), "edges", rows)
+        # small star: a node and its smaller neighbours are tied to the least of them
+        below = materialise(wide.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "below", rows)
+        tied = join_keys(wide, below, ["a"]).select(b.alias("a"), F.col("m").alias("b")).where("a <> b")
+        before, now = now, materialise(tied.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "edges", rows)
+        discard(before, around, wide, below)
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return now.select(a.alias("id"), b.alias("root")).unionByName(now.select(b.alias("id"), b.alias("root")).distinct())

@@ -272,8 +272,9 @@ def links(docs: DataFrame, reps: DataFrame, family: DataFrame, percent: int, k:
     return begun.unionByName(_compared(docs, reps, second, count, percent, k))
 
 
-def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """The sketch of ``docs``; and for each fingerprint its class: the least (doc_id, fingerprint) of it as ``top``, and n rows.
+def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The sketch of ``docs``; for each fingerprint its class's least doc_id (and the set of that, where sets share a
+    doc_id) and its n rows; and whether sets share a doc_id.
 
     A set's node is its least doc_id; of several sets with that doc_id the least, and a hash of themselves for the others."""
     bound_batches(docs.sparkSession)
@@ -281,7 +282,8 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFram
     equal = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint")
     reps = materialise(equal.agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.count("*").alias("n")), "reps")
     shared = materialise(reps.groupBy("doc_id").agg(F.min("fingerprint").alias("least"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "shared")
-    if shared.isEmpty():
+    twins = not shared.isEmpty()
+    if not twins:
         reps = reps.withColumn("id", F.col("doc_id"))
     else:
         own = F.col("least").isNull() | (F.col("least") == F.col("fingerprint"))
@@ -289,17 +291,20 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFram
     distance = distance_of(percent)
     family = refined(reps, materialise(components(ties(reps, chunks_of(distance))), "families"), distance)
     root = components(links(docs, reps, family, percent, k))
-    of = materialise(reps.select("fingerprint", "doc_id", "n", "id").join(root, "id", "left").withColumn("root", F.coalesce("root", "id")), "classes")
-    tops = of.groupBy("root").agg(F.min(F.struct("doc_id", "fingerprint")).alias("top"), F.count("*").alias("n"))
+    of = reps.select("fingerprint", "doc_id", "n", "id").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if not twins:  # a node is a doc_id
+        return drawn, materialise(of.select("fingerprint", F.col("root").alias("top"), F.lit(None).cast("binary").alias("top_set"), "n"), "classes"), False
+    of = materialise(of, "classes")
+    tops = of.groupBy("root").agg(F.min(F.struct("doc_id", "fingerprint")).alias("t"), F.count("*").alias("n"))
     named = join_keys(of.select("root", "fingerprint", F.col("n").alias("rows")), materialise(tops, "tops"), ["root"])
-    return drawn, materialise(named.select("fingerprint", "top", F.col("rows").alias("n")), "named")
+    return drawn, materialise(named.select("fingerprint", F.col("t.doc_id").alias("top"), F.col("t.fingerprint").alias("top_set"), F.col("rows").alias("n")), "named"), True
 
 
 def classes(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (it is its own class's)."""
-    drawn, of = _grouped(docs, percent, k)
+    drawn, of, _ = _grouped(docs, percent, k)
     linked = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
-    some = join_keys(drawn.where(linked).select("fingerprint", "doc_id", "n_shingles"), of, ["fingerprint"]).select("doc_id", "n_shingles", F.col("top.doc_id").alias("component_id"))
+    some = join_keys(drawn.where(linked).select("fingerprint", "doc_id", "n_shingles"), of.drop("top_set"), ["fingerprint"]).select("doc_id", "n_shingles", F.col("top").alias("component_id"))
     out = some.unionByName(drawn.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -317,9 +322,10 @@ def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     The row of a class with the least doc_id stays, of several sets with that doc_id the least by fingerprint, of rows
     with equal doc_id and set any one. Rows without words or doc_id stay.
     """
-    drawn, of = _grouped(docs, percent, k)
+    drawn, of, twins = _grouped(docs, percent, k)
     rows = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "fingerprint")
-    judged = join_keys(rows, of, ["fingerprint"]).select("doc_id", "fingerprint", (F.struct("doc_id", "fingerprint") == F.col("top")).alias("stays"))
+    first = (F.col("doc_id") == F.col("top")) & (F.col("fingerprint") == F.col("top_set") if twins else F.lit(True))
+    judged = join_keys(rows, of, ["fingerprint"]).select("doc_id", first.alias("stays"))
     ids = materialise(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays")), "judged")
     gone, again = ids.where("NOT stays").select("doc_id"), ids.where("stays AND n > 1").select("doc_id")
     # the texts stay where they are while the list of ids is small enough to be broadcast; beyond, both sides are shuffled
@@ -340,7 +346,8 @@ def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
 
     several = _dropped(docs, again, more <= BROADCAST_IDS, "left_semi").withColumn(mark, body).mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(mark, "binary"))
     a, b = fresh("id", [*columns, mark]), fresh("set", [*columns, mark])
-    tops = of.select(F.col("top.doc_id").alias(a), F.col("top.fingerprint").alias(b)).distinct().join(again.withColumnRenamed("doc_id", a), a, "left_semi")
-    one = several.where(F.col(mark).isNotNull()).join(tops, (F.col("doc_id").cast("long") == F.col(a)) & (F.col(mark) == F.col(b)), "left_semi").dropDuplicates(["doc_id", mark])
+    tops = of.select(F.col("top").alias(a), F.col("top_set").alias(b)).distinct().join(again.withColumnRenamed("doc_id", a), a, "left_semi")
+    same = (F.col("doc_id").cast("long") == F.col(a)) & (F.col(mark) == F.col(b) if twins else F.lit(True))
+    one = several.where(F.col(mark).isNotNull()).join(tops, same, "left_semi").dropDuplicates(["doc_id", mark])
     alone = _dropped(left, again, more <= BROADCAST_IDS)
     return alone.unionByName(one.select(columns)).unionByName(several.where(F.col(mark).isNull()).select(columns))
