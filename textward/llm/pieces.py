@@ -145,9 +145,8 @@ class Transducer:
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.id):
             raise ValueError("a piece of this model goes across words")
         self.value = {n: b for b, n in self.bytes.items()}
-        #: Ids of the words of the last two batches.
+        #: Ids of the words of the last batch.
         self._now: dict[bytes, bytes] = {}
-        self._before: dict[bytes, bytes] = {}
         self.space = self.id.get(SPACE, OUTSIDE + ord(SPACE))
         #: Of a model of merges, pieces that their own merges reach; the others are on no path.
         reached = [p for p in self.id if kind == UNIGRAM or self.merge(p) == (p,)]
@@ -170,7 +169,7 @@ class Transducer:
 
     def forget(self) -> None:
         """Give the remembered words back; an idle worker keeps only the compiled tables."""
-        self._now, self._before = {}, {}
+        self._now = {}
 
     # -- arcs and weights -------------------------------------------------------------------------
 
@@ -361,8 +360,7 @@ class Transducer:
 
     def packed(self, words: list[bytes]) -> list[bytes]:
         """Ids of the distinct words of a batch, their spaces as they are, as 32-bit numbers."""
-        now, before = self._now.get, self._before.get
-        out = [now(w) or before(w) for w in words]
+        out = list(map(self._now.get, words))
         new = [k for k, x in enumerate(out) if x is None]
         for lo in range(0, len(new), TOGETHER):
             some = new[lo : lo + TOGETHER]
@@ -378,7 +376,7 @@ class Transducer:
                 out[some[plain[k]]] = array("i", self._spelled(labels[end[k] - count[k] : end[k]].tolist())).tobytes()
             for n in set(range(len(some))).difference(plain):
                 out[some[n]] = array("i", self.word(spelled[n])).tobytes()
-        self._before, self._now = self._now, dict(zip(words, out, strict=True))
+        self._now = dict(zip(words, out, strict=True))
         return out
 
     def encode(self, text: str | None) -> list[int]:
