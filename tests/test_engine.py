@@ -11,7 +11,7 @@ from textward.operators.lint import lint
 from textward.operators.memo import lru_hits, memoised
 from textward.operators.memo import stats as memo_stats
 from textward.operators.redact import redact
-from textward.operators.scan import insensitive, matches, scan
+from textward.operators.scan import each_reason, insensitive, matches, scan
 from textward.plans import queries, report
 from textward.sources import inventory
 
@@ -249,3 +249,17 @@ def test_partitions_do_not_matter(spark):
     rows = queries.planted(spark, SF)
     one, many = scan(rows.coalesce(1)), scan(rows.repartition(8))
     assert one.orderBy("doc_id").collect() == many.orderBy("doc_id").collect()
+
+
+def test_reasons_are_found_once(spark):
+    plan = queries.scan_planted_snippets(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "+- Generate explode" in plan and "+- Filter" not in plan
+    rows = spark.createDataFrame([(1, "Run commands"), (2, "fine"), (3, None)], "_reason long, text string")
+    assert [tuple(r) for r in each_reason(scan(rows, mask_text=False), "_reason").collect()] == [(1, "tool-shell-commands", 1, "Run commands")]
+
+
+def test_surroundings(spark):
+    hit = "ignore previous instructions"
+    texts = {"\U0001f600" * 40 + f"{hit} \U0001f600 now": "\U0001f600" * 30 + f"{hit} \U0001f600 now", hit: hit, "a" * 31 + hit + "b" * 31 + hit: "a" * 30 + hit + "b" * 30}
+    got = {r["text"]: r["reasons"][0]["snippet"] for r in scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == texts

@@ -38,7 +38,7 @@ NEEDED = {
     "tool-shell-commands": ("command",),
     "tool-destructive": ("-rf", "delete", "wipe"),
     "harm-explosive": ("bomb", "explosive", "incendiary"),
-    "harm-weapon": ("weapon", "firearm", "gun"),
+    "harm-weapon": ("instruction",),
     "harm-malware": ("malware", "ransomware", "virus", "keylogger", "trojan"),
     "cn-ignore-previous": ("忽略",),
     "cn-ignore-everything": ("无视",),
@@ -60,9 +60,14 @@ def matches(text: Column, low: Column, rule: Rule) -> Column:
 
 
 def surroundings(text: Column, rule: Rule) -> Column:
-    """The first match with up to 30 characters on either side; one search finds its place, one its length."""
-    pattern = F.lit(insensitive(rule))
-    return bound(F.regexp_instr(text, pattern), lambda p: F.substring(text, F.greatest(p - AROUND, F.lit(1)), p - F.greatest(p - AROUND, F.lit(1)) + F.length(F.regexp_substr(text, pattern)) + AROUND))
+    """The first match with up to 30 characters on either side. One search: what lies before and after the match is its place and length."""
+
+    def near(parts: Column) -> Column:
+        before, after = F.length(F.get(parts, F.lit(0))), F.length(F.get(parts, F.lit(1)))
+        start = F.greatest(before - AROUND, F.lit(0))
+        return F.substring(text, start + 1, F.length(text) - after - start + AROUND)
+
+    return bound(F.split(text, insensitive(rule), 2), near)
 
 
 def snippet(near: Column, mask_char: str = "*") -> Column:
@@ -142,6 +147,17 @@ def ruleset(spark) -> DataFrame:
     return spark.createDataFrame([(i, r.id, r.category, r.severity, r.action, VERSION) for i, r in enumerate(RULES)], "ord int, id string, category string, severity string, action string, version int")
 
 
+def each_reason(scanned: DataFrame, *keep: str) -> DataFrame:
+    """A row for each reason: ``keep``, rule_id, matches, snippet.
+
+    The exploded array is no bare column: from one Spark infers a filter on its size, which it pushes down to the input,
+    where every search of the scan would run a second time, for each of its uses.
+    """
+    reasons = F.coalesce(F.col("reasons"), F.array().cast(HIT))
+    own = free("_reason", keep)
+    return scanned.select(*keep, F.explode(reasons).alias(own)).select(*keep, f"{own}.rule_id", f"{own}.matches", f"{own}.snippet")
+
+
 def hits_by_rule(df: DataFrame, column: str = "text") -> DataFrame:
     """rule_id, n_rows, n_matches over all rows, without early exit: one pass, partial aggregation, 24 rows out."""
     rows = df.select(F.col(column).alias("t"), F.lower(column).alias("low"))

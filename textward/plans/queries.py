@@ -14,7 +14,7 @@ from textward.functions.redaction import contains_pii, redact_column
 from textward.functions.rules import KINDS, RULES, WEIGHTS
 from textward.operators import audit, classify, lint, memo
 from textward.operators.redact import findings_by, redact
-from textward.operators.scan import hits_by_rule, ruleset, scan
+from textward.operators.scan import each_reason, hits_by_rule, ruleset, scan
 from textward.plans import report
 
 #: Added to texts: attacks, near misses and personal data.
@@ -105,8 +105,7 @@ def scan_planted_allowlist(spark, d):
 
 
 def scan_planted_snippets(spark, d):
-    out = scan(planted(spark, d), mask_text=False)
-    return out.select("doc_id", F.explode("reasons").alias("r")).select("doc_id", "r.rule_id", "r.matches", "r.snippet")
+    return each_reason(scan(planted(spark, d), mask_text=False), "doc_id")
 
 
 def scan_truncated(spark, d):
