@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textward.config import ScanOptions
 from textward.functions.dialect import java
 from textward.functions.redaction import mask_secret
-from textward.functions.rules import RULES
+from textward.functions.rules import KINDS, RULES
 from textward.operators import audit, classify, model
 from textward.operators.lint import lint
 from textward.operators.memo import lru_hits, memoised
@@ -263,3 +263,29 @@ def test_surroundings(spark):
     texts = {"\U0001f600" * 40 + f"{hit} \U0001f600 now": "\U0001f600" * 30 + f"{hit} \U0001f600 now", hit: hit, "a" * 31 + hit + "b" * 31 + hit: "a" * 30 + hit + "b" * 30}
     got = {r["text"]: r["reasons"][0]["snippet"] for r in scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert got == texts
+
+
+def test_log_events_mask_a_text_once(spark):
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("https?://")
+    once = redact(spark.read.parquet(f"{SF}/documents.parquet")).select("redacted", "findings")
+    assert searches(queries.log_events(spark, SF)) == searches(once) > 0
+    rows = spark.createDataFrame([("mail a@b.co", "M")], "text string, m string")
+    line = lambda masked: report.events(rows, "info", "e", "m", ["text", "m"], F.lit(0).cast("timestamp"), masked).first()["value"].split(",", 4)[4]
+    assert line(None) == '"text":"mail a***@b.co","m":"M"}' and line({"text": "m", "m": "text"}) == '"text":"M","m":"M"}'
+
+
+def test_texts_without_what_a_kind_holds_have_no_match(spark, monkeypatch):
+    import random
+
+    from textward.functions import redaction
+
+    draw = random.Random(1)
+    bits = ("1", "9", "13", "0.0.0.0", "1.1.1.", ".", "19900101", "138123456", "6222020000000007", "+86-", "X", " ", "@", "a", "b.co", "sk-", "AKIA", "ghp_", "xoxb-", "AIza", "A" * 16, "a" * 20, "http://", "https://", ":", "/", "\U0001f600", "١")
+    texts = [t for t, _ in REDACTIONS] + ["".join(draw.choices(bits, k=draw.randint(1, 9))) for _ in range(1500)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(4)
+    for char in ("*", "1.1"):
+        some = redact(rows, mask_char=char).collect()
+        with monkeypatch.context() as m:
+            m.setattr(redaction, "_may_hold", lambda state, kind: F.lit(True))
+            assert some == redact(rows, mask_char=char).collect()
+        assert {f["type"] for r in some for f in r["findings"] or ()} == {k.type for k in KINDS}

@@ -174,7 +174,7 @@ def classifier_merge(spark, d):
 
 def log_events(spark, d):
     rows = redact(_read(spark, d, "documents").select("doc_id", "text").withColumn("note", F.col("text")))
-    return report.events(report.redact_event(rows), "info", "redact", "doc_id", ["text", "note", "types_hit", "total"], ts=F.lit("2024-01-01").cast("timestamp"))
+    return report.events(report.redact_event(rows), "info", "redact", "doc_id", ["text", "note", "types_hit", "total"], ts=F.lit("2024-01-01").cast("timestamp"), masked={"text": "redacted"})
 
 
 def render_scans(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,10 @@ def safe_field(name: str, value: Column, is_string: bool = True) -> Column:
     return F.when(F.length(value) > LONGEST, F.concat(F.substring(value, 1, LONGEST), F.lit("…(truncated)"))).otherwise(value)
 
 
-def events(df: DataFrame, level: str, event: str, request_id: str, fields: list[str], ts: Column | None = None) -> DataFrame:
-    """One JSON line for each row."""
-    kinds = dict(df.dtypes)
-    safe = [safe_field(f, F.col(f), kinds[f] == "string").alias(f) for f in fields]
+def events(df: DataFrame, level: str, event: str, request_id: str, fields: list[str], ts: Column | None = None, masked: Mapping[str, str] | None = None) -> DataFrame:
+    """One JSON line for each row. ``masked``: of fields that are masked, the columns that hold their masked form already."""
+    kinds, masked = dict(df.dtypes), {f: c for f, c in (masked or {}).items() if f in MASKED_FIELDS}
+    safe = [(F.col(masked[f]) if f in masked else safe_field(f, F.col(f), kinds[f] == "string")).alias(f) for f in fields]
     stamp = F.date_format(ts if ts is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return df.select(F.to_json(F.struct(stamp.alias("ts"), F.lit(level).alias("level"), F.lit(event).alias("event"), F.col(request_id).cast("string").alias("requestId"), *safe)).alias("value"))
 
