@@ -11,7 +11,7 @@ from textward.operators.lint import lint
 from textward.operators.memo import lru_hits, memoised
 from textward.operators.memo import stats as memo_stats
 from textward.operators.redact import redact
-from textward.operators.scan import each_reason, insensitive, matches, scan
+from textward.operators.scan import each_reason, insensitive, matches, scan, searched
 from textward.plans import queries, report
 from textward.sources import inventory
 
@@ -289,3 +289,16 @@ def test_texts_without_what_a_kind_holds_have_no_match(spark, monkeypatch):
             m.setattr(redaction, "_may_hold", lambda state, kind: F.lit(True))
             assert some == redact(rows, mask_char=char).collect()
         assert {f["type"] for r in some for f in r["findings"] or ()} == {k.type for k in KINDS}
+
+
+def test_first_letters_drop_no_match(spark):
+    heads = "start begin act behave ignore bypass override disable remove forget DAN do developer jailbreak reveal show print output display dump repeat copy quote exfiltrate steal send upload post transmit run execute rm delete wipe how make build create write develop".split()
+    tails = " new session,as an expert,your filters,mode,anything now,mode on,this bot,the system prompt,the full instructions,all data to,it to http://,shell commands,-rf,all files,the disk,to make a bomb,a bomb,a virus".split(",")
+    texts = [f"x{gap}{case(head)} {tail.strip()} " for head in heads for tail in tails for gap in (" ", "y", "") for case in (str.lower, str.upper)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *queries.PHRASES]], "text string").coalesce(4)
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    found = rows.agg(*(F.struct(F.sum(count(insensitive(r))), F.sum(count(searched(r)))).alias(r.id) for r in RULES)).first()
+    assert all(found[r.id][0] == found[r.id][1] > 0 for r in RULES)
+    quick = [r.id for r in RULES if searched(r).startswith("(?=[")]
+    plan = scan(queries.planted(spark, SF)).select("confidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert "role-dan-mode" in quick and "tool-destructive" in quick and "regexp_extract_all(_scan_t" in plan and "(?=[djDJ])" in plan

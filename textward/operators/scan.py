@@ -50,12 +50,35 @@ NEEDED = {
 }
 
 
+#: The letters that a match of a rule with alternatives may begin with, in lower case.
+FIRST = {
+    "instr-start-fresh": "bs",
+    "role-act-as": "ab",
+    "role-ignore-guardrails": "bdfior",
+    "role-dan-mode": "dj",
+    "leak-system-prompt": "doprs",
+    "leak-repeat-instructions": "cqr",
+    "exfil-send-external": "epstu",
+    "exfil-url": "epsu",
+    "tool-shell-commands": "er",
+    "tool-destructive": "drw",
+    "harm-explosive": "bchm",
+    "harm-malware": "cdw",
+}
+
+
+def searched(rule: Rule) -> str:
+    """The pattern, tried only where a match may begin."""
+    first = FIRST.get(rule.id)
+    return f"(?=[{first}{first.upper()}])(?:{insensitive(rule)})" if first else insensitive(rule)
+
+
 def matches(text: Column, low: Column, rule: Rule) -> Column:
     """How often a rule matches, 20 at most. ``low``: the text in lower case."""
     some = F.lit(False)
     for word in NEEDED[rule.id]:
         some = some | F.contains(low, F.lit(word))
-    count = F.least(F.regexp_count(text, F.lit(insensitive(rule))), F.lit(MAX_MATCHES)).cast("long")
+    count = F.least(F.regexp_count(text, F.lit(searched(rule))), F.lit(MAX_MATCHES)).cast("long")
     return F.when(some, count).when(text.isNotNull(), F.lit(0).cast("long"))
 
 
@@ -67,7 +90,7 @@ def surroundings(text: Column, rule: Rule) -> Column:
         start = F.greatest(before - AROUND, F.lit(0))
         return F.substring(text, start + 1, F.length(text) - after - start + AROUND)
 
-    return bound(F.split(text, insensitive(rule), 2), near)
+    return bound(F.split(text, searched(rule), 2), near)
 
 
 def snippet(near: Column, mask_char: str = "*") -> Column:
